@@ -22,3 +22,14 @@ def block_pairs(df: DataFrame, key: str, rows_in_group: Column, identity: Column
     met = met.withColumn("block_key", F.when(F.col("__n") == 1, F.col(key)).otherwise(F.xxhash64(key, low, high)))
     met = met.withColumn("side", (F.col("__own") > F.col("__other")).cast("int"))
     return met.drop("__n", "__own", "__other")
+
+
+def expand_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """``id_a, id_b`` (``id_a < id_b``) of the members of each pair ``class_a, class_b`` of different classes.
+
+    Both sides of the second join are spread by the first member, so one hot class does not meet in one task.
+    """
+    one = members.select(F.col("class").alias("class_a"), F.col("id").alias("__a"))
+    two = members.select(F.col("class").alias("class_b"), F.col("id").alias("__b"))
+    met = pairs.join(one, "class_a").join(two, "class_b").where("__a <> __b")
+    return met.select(F.least("__a", "__b").alias("id_a"), F.greatest("__a", "__b").alias("id_b")).distinct()

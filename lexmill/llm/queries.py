@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import bpe, mixture, spans
+from lexmill.llm import bpe, mixture, neardup, skeleton, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": skeleton.p1_found,
+    "p1_groups": skeleton.p1_groups,
+    "p1_forms": skeleton.p1_forms,
+    "p2_found": neardup.p2_found,
+    "p2_groups": neardup.p2_groups,
+    "p2_files": neardup.p2_files,
     "p6_ids": bpe.p6_ids,
     "p6_counts": bpe.p6_counts,
     "p7_mixture": mixture.p7_mixture,
