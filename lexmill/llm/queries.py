@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import bpe, mixture, neardup, skeleton, spans
+from lexmill.llm import bpe, mixture, neardup, pairs, skeleton, spans, splitting, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": skeleton.p1_found,
@@ -15,6 +15,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": neardup.p2_found,
     "p2_groups": neardup.p2_groups,
     "p2_files": neardup.p2_files,
+    "p3_found": truncation.p3_found,
+    "p3_rates": truncation.p3_rates,
+    "p3_limits": truncation.p3_limits,
+    "p4_found": pairs.p4_found,
+    "p4_rates": pairs.p4_rates,
+    "p5_found": splitting.p5_found,
+    "p5_pieces": splitting.p5_pieces,
     "p6_ids": bpe.p6_ids,
     "p6_counts": bpe.p6_counts,
     "p7_mixture": mixture.p7_mixture,
@@ -24,4 +31,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_shared": spans.p8_shared,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    # the pieces come from the splitting operator; which items are oversized is plain SQL
+    "p5_found": """
+        SELECT DISTINCT c.chunk_id FROM chunks c
+        LEFT JOIN split_rules r ON c.clause_type = r.clause_type AND r.clause_type <> '*'
+        CROSS JOIN (SELECT max_chars FROM split_rules WHERE clause_type = '*') d
+        WHERE length(c.text) > coalesce(r.max_chars, d.max_chars)""",
+}
