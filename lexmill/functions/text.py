@@ -6,6 +6,8 @@ space or digits, end of text as ``\\z``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(c)`` with ``c`` worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(col(c), rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
@@ -71,14 +78,17 @@ def numeral_value(c: Column | str, most: int) -> Column:
 
 
 def contract_clause_numbers(c: Column | str) -> Column:
-    return F.regexp_replace(_numerals(col(c), "第", "条"), rf"Article[{SPACE}]*({DIGIT}+)", "Article $1")
+    c = let(col(c), lambda x: F.when(x.rlike(f"第[{NUMERALS}]条"), _numerals(x, "第", "条")).otherwise(x))
+    return F.regexp_replace(c, rf"Article[{SPACE}]*({DIGIT}+)", "Article $1")
 
 
 def law_clause_numbers(c: Column | str) -> Column:
-    c = col(c)
-    for unit in "章节条款":
-        c = _numerals(c, "第", unit)
-    return _numerals(c, "(", ")")
+    def all_units(x: Column) -> Column:
+        for unit in "章节条款":
+            x = _numerals(x, "第", unit)
+        return _numerals(x, "(", ")")
+
+    return let(col(c), lambda x: F.when(x.rlike(rf"第[{NUMERALS}][章节条款]|\([{NUMERALS}]\)"), all_units(x)).otherwise(x))
 
 
 def dates(c: Column | str, with_day_word: bool = False) -> Column:
@@ -111,9 +121,13 @@ def law_references(c: Column | str) -> Column:
     c = F.regexp_replace(col(c), rf"{name}({DIGIT}+)[{SPACE}]*条", "《$1》第$2条")
     c = F.regexp_replace(c, rf"{name}([{NUMERALS}]+)[{SPACE}]*条", f"{mark}《$1》第$2条")
     words = [*NUMERALS, *("十" + n for n in NUMERALS[:9]), "二十"]
-    for value, word in enumerate(words, 1):
-        c = F.regexp_replace(c, rf"{mark}(《[^》]+》)第{word}条", f"$1第{value}条")
-    return F.replace(c, F.lit(mark), F.lit(""))
+
+    def numbered(x: Column) -> Column:
+        for value, word in enumerate(words, 1):
+            x = F.regexp_replace(x, rf"{mark}(《[^》]+》)第{word}条", f"$1第{value}条")
+        return F.replace(x, F.lit(mark), F.lit(""))
+
+    return let(c, lambda x: F.when(F.contains(x, F.lit(mark)), numbered(x)).otherwise(x))
 
 
 def standard_contract(c: Column | str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.runtime import once
 
 # Page furniture and marks of each kind of document.
 FURNITURE = {
@@ -85,16 +86,19 @@ def hierarchy(c: Column | str) -> Column:
 
 def clean_format(c: Column | str, kind: str) -> Column:
     """Single blanks, no bullets outside lists, stripped."""
-    c = T.collapse(c)
-    listed = F.lit(False)
-    for start in LIST_STARTS[kind]:
-        listed = listed | F.startswith(c, F.lit(start))
-    return T.strip(F.when(listed, c).otherwise(F.translate(c, BULLETS[kind], "")))
+
+    def unbulleted(x: Column) -> Column:
+        listed = F.lit(False)
+        for start in LIST_STARTS[kind]:
+            listed = listed | F.startswith(x, F.lit(start))
+        return F.when(listed, x).otherwise(F.translate(x, BULLETS[kind], ""))
+
+    return T.strip(T.let(T.collapse(c), unbulleted))
 
 
 def extract(paragraphs: DataFrame, kind: str) -> DataFrame:
     """What the reader keeps: no empty, boxed or furniture paragraphs; tables always. ``raw`` is the unstripped text."""
-    rows = paragraphs.withColumn("raw", F.col("text")).withColumn("text", T.strip("text"))
+    rows = once(paragraphs.withColumn("raw", F.col("text")), text=T.strip("text"))
     table = F.coalesce(F.col("style") == "Table", F.lit(False))
     plain = (F.length("text") > 0) & ~is_box("text", kind) & ~is_furniture("raw", kind)
     return rows.where(table & (F.length("raw") > 0) | ~table & plain)
@@ -112,21 +116,21 @@ def clean_contract(paragraphs: DataFrame) -> DataFrame:
     """The cleaned paragraphs of contracts, with the role each has in the cleaned document."""
     rows = lone_numbers(extract(paragraphs, "contract"))
     rows = rows.where(~is_indicated("text", "contract") & ~F.col("is_lone_number") & ~is_page_number("text", "contract"))
-    rows = rows.withColumn("text", clean_format("text", "contract")).where(F.length("text") > 0)
-    rows = rows.withColumn("text", T.standard_contract("text"))
+    rows = once(rows, text=clean_format("text", "contract")).where(F.length("text") > 0)
+    rows = once(rows, text=T.standard_contract("text"))
     bold = F.coalesce(F.col("is_bold"), F.lit(False)) | T.contains_any("text", EMPHASIS)
     return rows.withColumn("role", F.when(F.col("style") == "Table", "table").when(bold, "bold").otherwise("plain")).drop("raw", "is_lone_number")
 
 
 def clean_law(paragraphs: DataFrame) -> DataFrame:
     """The cleaned paragraphs of statutes, with section flag, level, spacer before and role."""
-    rows = extract(paragraphs, "law").withColumn("is_law_section", T.contains_any("text", LAW_SECTIONS)).withColumn("hierarchy_level", hierarchy("text"))
+    rows = once(extract(paragraphs, "law"), is_law_section=T.contains_any("text", LAW_SECTIONS), hierarchy_level=hierarchy("text"))
     place = F.row_number().over(Window.partitionBy("file_path").orderBy("pos"))
     rows = rows.withColumn("place", place).where(~is_indicated("text", "law"))
     rows = rows.where(~((F.col("place") <= 3) & is_law_head("text") & ~T.contains_any("text", LAW_HEAD_KEEP)))
     rows = rows.where(~is_page_number("text", "law")).where(~is_footnote("text")).where(~is_decoration("text"))
-    rows = rows.withColumn("text", clean_format("text", "law")).where(F.length("text") > 0)
-    rows = rows.withColumn("text", T.standard_law("text"))
+    rows = once(rows, text=clean_format("text", "law")).where(F.length("text") > 0)
+    rows = once(rows, text=T.standard_law("text"))
     level = F.col("hierarchy_level")
     role = F.when(F.col("style") == "Table", "table").when(level > 0, F.concat(F.lit("heading"), F.least(level, F.lit(3)).cast("string")))
     role = role.when(F.coalesce(F.col("is_bold"), F.lit(False)) & (F.col("font_size") > 12), "title").when(F.coalesce(F.col("is_italic"), F.lit(False)), "italic").otherwise("plain")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.runtime import once, spread
 
 _N, _L, _D = f"[{T.NUMERALS}]+", f"[{T.NUMERALS_LONG}]+", T.DIGIT
 
@@ -79,8 +80,8 @@ def law_type(c: Column | str) -> Column:
 
 def split_law(docs: DataFrame, min_length: int = LAW_MIN) -> DataFrame:
     """Chunks of statutes: ``file_path, source, chunk_index, total_chunks_in_doc, text, ...`` of every extracted document."""
-    docs = docs.where("extraction_success AND full_text IS NOT NULL").select("file_path", F.col("file_name").alias("source"), F.col("full_text").alias("t"))
-    docs = docs.withColumn("chunks", F.filter(law_slices(F.col("t")), lambda c: (F.length(c) >= min_length) & (F.length(c) > 0)))
+    docs = spread(docs.where("extraction_success AND full_text IS NOT NULL").select("file_path", F.col("file_name").alias("source"), F.col("full_text").alias("t")))
+    docs = once(docs, chunks=F.filter(law_slices(F.col("t")), lambda c: (F.length(c) >= min_length) & (F.length(c) > 0)))
     rows = docs.select("file_path", "source", F.size("chunks").alias("total_chunks_in_doc"), F.posexplode("chunks").alias("chunk_index", "text"))
     rows = rows.withColumn("chunk_size", F.length("text")).withColumn("clause_type", law_type("text"))
     header = F.when(F.col("clause_type") == PLAIN, PLAIN).otherwise(T.clip(T.strip(T.first_line(F.substring("text", 1, 50))), 30))
@@ -119,10 +120,13 @@ def contract_positions(text: Column) -> Column:
     return F.array_sort(F.aggregate(_candidates(text), none, take))
 
 
-def contract_type(c: Column | str) -> Column:
-    """Type of a clause from its first line: the first start that fits, a key word near the start, else its length."""
+def contract_type(c: Column | str, line: Column | None = None) -> Column:
+    """Type of a clause from its first line: the first start that fits, a key word near the start, else its length.
+
+    ``line`` is the stripped first line where the caller has it as a column already.
+    """
     c = T.col(c)
-    line = T.strip(T.first_line(c))
+    line = T.strip(T.first_line(c)) if line is None else line
     found = None
     for label, pattern, _ in CONTRACT_STARTS:
         hit = line.rlike(rf"\A(?:{pattern})")
@@ -150,22 +154,24 @@ def split_contract(docs: DataFrame, min_length: int = CONTRACT_MIN) -> DataFrame
     """Clauses of contracts with type, header, party and priority; documents without a clause start by paragraphs."""
     t = F.translate("full_text", "\x01", "")
     docs = docs.where("extraction_success AND full_text IS NOT NULL").select("file_path", F.col("file_name").alias("source"), F.col("file_stem").alias("source_stem"), "contract_title", t.alias("t"))
-    docs = docs.withColumn("found", contract_positions(F.col("t")))
+    docs = spread(docs)
+    docs = once(docs, found=contract_positions(F.col("t")))
     cut = lambda s, e: T.strip(F.substring(F.col("t"), s + 1, e - s))
     item = lambda text, p, head: F.struct(text.alias("text"), p.cast("int").alias("priority"), head.alias("head"))
     clauses = F.transform("found", lambda x, i: item(cut(x.s, F.coalesce(F.get(F.col("found"), i + 1).s, F.length("t"))), x.p, x.s))
     lead = F.when(F.get("found", F.lit(0)).s > 0, F.array(item(cut(F.lit(0), F.get("found", F.lit(0)).s), F.lit(PREAMBLE_PRIORITY), F.lit(None).cast("int")))).otherwise(F.array().cast("array<struct<text:string,priority:int,head:int>>"))
     paragraphs = F.transform(split_paragraphs(F.col("t")), lambda p: item(p, F.lit(PARAGRAPH_PRIORITY), F.lit(None).cast("int")))
     every = F.when(F.size("found") > 0, F.concat(lead, clauses)).otherwise(paragraphs)
-    docs = docs.withColumn("chunks", F.filter(every, lambda c: (F.length(c.text) >= min_length) & (F.length(c.text) > 0)))
+    docs = once(docs, chunks=F.filter(every, lambda c: (F.length(c.text) >= min_length) & (F.length(c.text) > 0)))
     rows = docs.select("file_path", "source", "source_stem", "contract_title", "t", F.size("chunks").alias("total_chunks_in_doc"), F.posexplode("chunks").alias("chunk_index", "c"))
     rows = rows.select("*", F.col("c.text").alias("text"), F.col("c.priority").alias("clause_priority"), F.col("c.head").alias("head")).drop("c")
+    rows = once(rows, line=T.strip(T.first_line("text")))
     by_priority = F.element_at(F.array(*(F.lit(label) for label, _, _ in CONTRACT_STARTS)), F.greatest(F.least("clause_priority", F.lit(len(CONTRACT_STARTS))), F.lit(1)))
     clause = F.col("clause_priority").between(1, len(CONTRACT_STARTS))
-    rows = rows.withColumn("clause_type", F.when(clause, by_priority).otherwise(contract_type("text")))
+    rows = rows.withColumn("clause_type", F.when(clause, by_priority).otherwise(contract_type("text", F.col("line"))))
     money = F.regexp_extract(F.substring(F.col("t"), F.col("head") + 1, F.length("t")), rf"\A(?:{CONTRACT_STARTS[23][1]})[^\n]*", 0)
-    line = T.first_line(F.substring(F.col("t"), F.col("head") + 1, F.length("t")))
-    header = F.when(F.col("clause_priority") == PREAMBLE_PRIORITY, PREAMBLE).when(F.col("clause_priority") == 24, T.strip(money)).when(clause, T.strip(line)).otherwise(T.clip(T.strip(T.first_line("text")), 50))
+    start = T.first_line(F.substring(F.col("t"), F.col("head") + 1, F.length("t")))
+    header = F.when(F.col("clause_priority") == PREAMBLE_PRIORITY, PREAMBLE).when(F.col("clause_priority") == 24, T.strip(money)).when(clause, T.strip(start)).otherwise(T.clip("line", 50))
     rows = rows.withColumn("clause_header", header).withColumn("contract_party", contract_party("text"))
     rows = rows.withColumn("chunk_size", F.length("text")).withColumn("chunk_preview", T.preview("text", 120))
-    return rows.drop("t", "head")
+    return rows.drop("t", "head", "line")

@@ -239,7 +239,7 @@ SQL["clean_law_paragraphs"] = f"WITH {_LAWP} SELECT file_path, pos, text, hierar
 SQL["law_spacers"] = f"WITH {_LAWP} SELECT file_path, pos * 2 + 1 AS seq, text, style, font_size FROM r UNION ALL SELECT file_path, pos * 2, '', 'Empty', spacer_before FROM r WHERE spacer_before IS NOT NULL"
 _tests = ", ".join(f"{f('text', k)} AS {n}_{k}" for n, f in (("box", _box), ("furniture", _furniture), ("indicated", _indicated), ("page_number", _page)) for k in ("contract", "law"))
 SQL["line_verdicts"] = f"SELECT file_path, pos, {_tests}, {_foot} AS footnote, {_deco} AS decoration, {_head} AS law_head FROM paragraphs"
-SQL["neighbor_context_filter"] = f"SELECT file_path, pos, text FROM (SELECT *, {_lone} AS lone FROM paragraphs WINDOW o AS (PARTITION BY file_path ORDER BY pos)) WHERE lone"
+SQL["neighbor_context_filter"] = f"WITH q AS (SELECT file_path, pos, regexp_replace({_strip('text')}, '\\A- *([0-9]+) *-\\z', '\\1') AS text FROM paragraphs) SELECT file_path, pos, text FROM (SELECT *, {_lone} AS lone FROM q WINDOW o AS (PARTITION BY file_path ORDER BY pos)) WHERE lone"
 SQL["hierarchy_levels"] = f"SELECT file_path, pos, {_hierarchy(_strip('text'))} AS level, {_any('text', C.LAW_SECTIONS)} AS is_section FROM paragraphs"
 SQL["cleaning_report"] = "SELECT count(*) AS n_files, count(*) FILTER (extraction_success) AS n_cleaned, count(*) FILTER (NOT extraction_success) AS n_failed FROM extracted_docs"
 SQL["contract_titles"] = f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY pos) AS n FROM (SELECT file_path, pos, {_strip("text")} AS text FROM paragraphs) WHERE length(text) > 0),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as T
 from lexmill.operators import cleaning, embed, index, prompt, retrieve, segment, stats
 from lexmill.oracle import SQL as SQL
-from lexmill.runtime import table
+from lexmill.runtime import once, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 NOW = "2025-01-01T00:00:00"  # the moment of the imports below
@@ -50,7 +50,8 @@ def contract_paragraph_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def contract_clause_types(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").select("chunk_id", segment.contract_type("text").alias("contract_type"), segment.law_type("text").alias("law_type"), segment.contract_party("text").alias("party"))
+    rows = once(table(spark, d, "chunks").select("chunk_id", "text"), line=T.strip(T.first_line("text")))
+    return rows.select("chunk_id", segment.contract_type("text", F.col("line")).alias("contract_type"), segment.law_type("text").alias("law_type"), segment.contract_party("text").alias("party"))
 
 
 # --- statistics --------------------------------------------------------------------------------------------------------
@@ -138,7 +139,9 @@ def line_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def neighbor_context_filter(spark: SparkSession, d: str) -> DataFrame:
-    return cleaning.lone_numbers(table(spark, d, "paragraphs")).where("is_lone_number").select("file_path", "pos", "text")
+    """Lone numbers between paragraphs that name no section; page marks like ``- 3 -`` are taken as their number first."""
+    rows = table(spark, d, "paragraphs").withColumn("text", F.regexp_replace(T.strip("text"), r"\A- *([0-9]+) *-\z", "$1"))
+    return cleaning.lone_numbers(rows).where("is_lone_number").select("file_path", "pos", "text")
 
 
 @query
@@ -165,12 +168,12 @@ def contract_titles(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def standardize_contract(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").select("chunk_id", T.standard_contract("text").alias("text"))
+    return spread(table(spark, d, "chunks").select("chunk_id", "text")).select("chunk_id", T.standard_contract("text").alias("text"))
 
 
 @query
 def standardize_law(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").select("chunk_id", T.standard_law("text").alias("text"))
+    return spread(table(spark, d, "chunks").select("chunk_id", "text")).select("chunk_id", T.standard_law("text").alias("text"))
 
 
 @query

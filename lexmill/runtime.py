@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,25 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds or replaces columns that are worked out a single time a row, however often they are used.
+
+    Plain projections are merged, and with them an expression is repeated wherever its column is used; the generator
+    that makes the columns here keeps the optimizer from that.
+    """
+    made = F.struct(*(c.alias(name) for name, c in columns.items()))
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c not in columns), F.inline(F.array(made)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows in at least as many partitions as there are cores, for work that outweighs moving its input.
+
+    Inputs that already have enough partitions, as any large table has, are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def parallelism(spark: SparkSession, factor: int = 1) -> int:
     """Partitions for explicitly placed exchanges; follows ``spark.sql.shuffle.partitions``, which the deployment sizes."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) * factor)
