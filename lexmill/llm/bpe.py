@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.runtime import table
+from lexmill.runtime import spread, table
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 BATCH_CHARS = 4_000_000  # characters encoded at once; bounds a worker's memory, not what is read
@@ -285,8 +285,8 @@ def token_counts(rows: DataFrame, keep: list[str], text: str = "text", tokenizer
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"), ["doc_id"])
+    return encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
 
 
 def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), ["doc_id"])
+    return token_counts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])

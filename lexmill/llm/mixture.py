@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.bpe import TOKENIZERS, token_counts
-from lexmill.runtime import durable, table
+from lexmill.runtime import durable, spread, table
 
 CELLS = 4096  # key cells of a source; the cut cell holds about 1/4096 of its documents
 SEED = 20_240_229
@@ -39,7 +39,7 @@ def sized(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = T
     text = F.col("text").cast("string")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), quality_weight(text).alias("weight"), text.alias("text"))
     rows = rows.where("doc_id IS NOT NULL AND source IS NOT NULL AND length(text) > 0")
-    return token_counts(rows, ["doc_id", "source", "weight"], "text", tokenizer, folder).where("n_tokens > 0").dropDuplicates(["doc_id"])
+    return token_counts(spread(rows), ["doc_id", "source", "weight"], "text", tokenizer, folder).where("n_tokens > 0").dropDuplicates(["doc_id"])
 
 
 def budgets(sizes: DataFrame, targets: DataFrame) -> DataFrame:

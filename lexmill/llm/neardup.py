@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lexmill.llm.blocks import block_pairs, expand_pairs
 from lexmill.llm.skeleton import skeleton
 from lexmill.llm.spans import _blocks, _slices
-from lexmill.runtime import durable, parallelism, table
+from lexmill.runtime import durable, parallelism, spread, table
 
 THRESHOLD = 0.6
 RUN = 4  # characters of a token
@@ -266,6 +266,7 @@ def similar_classes(rows: DataFrame, key: str, text: str, threshold: float = THR
     """Members (``class, id``) and the pairs of different classes (``class_a, class_b``) that are alike."""
     spark = rows.sparkSession
     slim = rows.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    slim = spread(slim)
     words = ", ".join(f"w{k} long" for k in range(WORDS))
     signed = durable(slim.mapInArrow(_signatures, f"id long, class long, size int, {words}"), "signatures")
     parts = parallelism(spark)
