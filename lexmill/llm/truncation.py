@@ -23,11 +23,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.neardup import compact
+from lexmill.llm.spans import _slices
 from lexmill.runtime import durable, table
 
 TAIL = 5  # characters of an ending
@@ -93,7 +95,8 @@ def length_hazards(long: DataFrame, rate: float = RATE, around: int = NEIGHBOURS
     near = w.rangeBetween(-around, around)
     counts = counts.withColumn("near_n", F.sum("n").over(near) - F.col("n")).withColumn("near_risk", F.max("at_risk").over(near) * F.lit(2 * around))
     counts = counts.withColumn("hazard", F.col("n") / F.col("at_risk")).withColumn("base", (F.col("near_n") + 1) / (F.col("near_risk") + 1))
-    mean = F.greatest(F.col("base") * F.col("at_risk"), F.lit(0.05))
+    # where few are left the hazard rises by itself; there the neighbours' numbers tell what is usual
+    mean = F.greatest(F.col("base") * F.col("at_risk"), F.col("near_n") / F.lit(around), F.lit(0.05))
     z = 2 * (F.sqrt(F.col("n") + 0.375) - F.sqrt(mean + 0.375))
     counts = counts.withColumn("p", 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z)))
     by_p = Window.partitionBy(*key).orderBy("p", "length")
@@ -107,14 +110,37 @@ def _digits(text: Column) -> Column:
     return F.translate(text, "123456789", "0" * 9)
 
 
+def _count_runs(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(stream):
+        fields, every = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for field in sorted(set(fields)):
+            texts = [v for f, v in zip(fields, every) if f == field]
+            lens = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+            cp = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+            cp[(cp > 0x30) & (cp <= 0x39)] = 0x30
+            count = np.maximum(lens - TAIL, 0)
+            at = np.arange(count.sum()) + np.repeat((np.cumsum(lens) - lens) - (np.cumsum(count) - count), count)
+            if not len(at):
+                continue
+            h = np.zeros(len(at), np.uint64)
+            for k in range(TAIL):
+                h = (h ^ cp[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            _, pick, which = np.unique(h, return_index=True, return_inverse=True)
+            seen = np.bincount(which)
+            ended = np.bincount(which, np.isin(cp[at + TAIL], [ord(c) for c in "。.！？!?\n"]))
+            joined = cp[at[pick][:, None] + np.arange(TAIL)].tobytes().decode("utf-32-le", "surrogatepass")
+            tails = [joined[k : k + TAIL] for k in range(0, len(joined), TAIL)]
+            yield pa.RecordBatch.from_arrays([pa.array([field] * len(tails)), pa.array(tails), pa.array(seen), pa.array(ended.astype(np.int64))], ["field_name", "tail", "seen", "ended"])
+
+
 def endings(long: DataFrame) -> DataFrame:
-    """``field_name, tail, seen, ended``: the runs of ``TAIL`` characters of all values, and how often an end follows."""
-    text = F.concat(_digits(F.col("value")), F.lit("\n"))
-    spots = F.transform(F.sequence(F.lit(1), F.length("value") - TAIL + 1), lambda k: F.substring(F.col("t"), k, F.lit(TAIL + 1)))
-    runs = long.where(f"length(value) >= {TAIL}").select("field_name", text.alias("t"), "value").select("field_name", F.explode(spots).alias("run"))
-    runs = runs.groupBy("field_name", "run").agg(F.count("*").alias("n"))
-    after = F.substring("run", TAIL + 1, 1)
-    return runs.groupBy("field_name", F.substring("run", 1, TAIL).alias("tail")).agg(F.sum("n").alias("seen"), F.sum(F.when(after.isin(*"。.！？!?\n"), F.col("n")).otherwise(0)).alias("ended"))
+    """``field_name, tail, seen, ended``: the runs of ``TAIL`` characters of all values, and how often an end follows.
+
+    Each batch counts its own runs first, so what is exchanged are distinct runs with their numbers.
+    """
+    counted = long.select("field_name", "value").mapInArrow(_count_runs, "field_name string, tail string, seen long, ended long")
+    return counted.groupBy("field_name", "tail").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
 
 
 def shortened(long: DataFrame) -> DataFrame:
