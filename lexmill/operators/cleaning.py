@@ -24,15 +24,24 @@ INDICATORS = {
 BOXES = {"contract": "┌┐└┘├┤┬┴┼│", "law": "┌┐└┘├┤┬┴┼│┃"}
 BULLETS = {"contract": "●◆■▲★◎※◇", "law": "●◆■▲★◎※◇▣"}
 LIST_STARTS = {"contract": ["•", "-", "1.", "2.", "3.", "（", "("], "law": ["•", "-", "1.", "2.", "3.", "（", "(", "《", "["]}
-LAW_HEADS = [".*令第[0-9]+号", ".*公告第[0-9]+号", ".*通知第[0-9]+号", "^【.*】$", "^〔.*〕$"]
 LAW_HEAD_KEEP = ["令", "公告", "通知", "决定"]
 LAW_TITLES = ["总则", "分则", "附则", "法律责任", "罚则"]
 EMPHASIS = ["甲方", "乙方", "第一条"]
-CONTRACT_SECTIONS = ["甲方", "乙方", "丙方", "丁方", *(f"第{n}条" for n in "一二三四五12345"), *(f"Article {n}" for n in "123"), *(f"第{n}章" for n in "一二三"), "合同双方", "合同标的", "合同价款", "付款方式", "违约责任", "争议解决", "保密条款", "签字页", "签署", "盖章"]
+CONTRACT_SECTIONS = [
+    "甲方", "乙方", "丙方", "丁方", "第一条", "第二条", "第三条", "第四条",
+    "第五条", "第1条", "第2条", "第3条", "第4条", "第5条", "Article 1", "Article 2",
+    "Article 3", "第一章", "第二章", "第三章", "合同双方", "合同标的", "合同价款", "付款方式",
+    "违约责任", "争议解决", "保密条款", "签字页", "签署", "盖章",
+]
 LAW_SECTIONS = [
-    *(f"第{n}{u}" for u in "章节编条" for n in "一二三四五"), *(f"第{n}条" for n in "12345"), *(f"Article {n}" for n in "123"), "总则", "分则", "附则", "法律依据", "立法目的", "适用范围", "定义", "释义", "法律责任",
-    "罚则", "处罚", "施行日期", "生效日期", "废止日期", "颁布机关", "发布机关", "中华人民共和国", "国务院令", "部令", "办法", "条例", "规定", "细则", "决定", "司法解释", "批复", "答复",
-]
+    "第一章", "第二章", "第三章", "第四章", "第五章", "第一节", "第二节", "第三节",
+    "第四节", "第五节", "第一编", "第二编", "第三编", "第四编", "第五编", "第一条",
+    "第二条", "第三条", "第四条", "第五条", "第1条", "第2条", "第3条", "第4条",
+    "第5条", "Article 1", "Article 2", "Article 3", "总则", "分则", "附则", "法律依据",
+    "立法目的", "适用范围", "定义", "释义", "法律责任", "罚则", "处罚", "施行日期",
+    "生效日期", "废止日期", "颁布机关", "发布机关", "中华人民共和国", "国务院令", "部令", "办法",
+    "条例", "规定", "细则", "决定", "司法解释", "批复", "答复",
+]
 
 
 def any_line(patterns: list[str], ignore_case: bool = False) -> str:

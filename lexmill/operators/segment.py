@@ -25,13 +25,18 @@ PLAIN = "普通文本"
 # Clause starts of contracts by priority (1 first); True: only at the start of a line.
 CONTRACT_STARTS = [
     ("中文条款", f"第{_L}条", False), ("数字条款", f"第{_D}+条", False), ("章节标题", f"第{_N}章", False), ("小节标题", f"第{_N}节", False),
-    *((f"{p}信息", f"{p}[：:]", True) for p in ("甲方", "乙方", "借款人", "贷款人", "出借人", "保证人")),
-    *((f"{w}条款", f"{p}[：:]", True) for w, p in (("金额", "贷款金额"), ("利率", "贷款利率"), ("还款", "还款方式"), ("违约", "违约责任"), ("争议", "争议解决"), ("担保", "担保条款"), ("保密", "保密条款"))),
+    ("甲方信息", "甲方[：:]", True), ("乙方信息", "乙方[：:]", True), ("借款人信息", "借款人[：:]", True), ("贷款人信息", "贷款人[：:]", True), ("出借人信息", "出借人[：:]", True), ("保证人信息", "保证人[：:]", True),
+    ("金额条款", "贷款金额[：:]", True), ("利率条款", "贷款利率[：:]", True), ("还款条款", "还款方式[：:]", True), ("违约条款", "违约责任[：:]", True), ("争议条款", "争议解决[：:]", True), ("担保条款", "担保条款[：:]", True), ("保密条款", "保密条款[：:]", True),
     ("数字编号", rf"{_D}+[\.、]", True), ("小数编号", rf"{_D}+\.{_D}+", True), ("括号编号", f"[（(][{T.NUMERALS}{_D}]+[）)]", True), ("带圈编号", "[①-⑩]", True), ("中文序号", f"{_N}[、.]", True),
     ("大写金额", "人民币[零壹贰叁肆伍陆柒捌玖拾佰仟万亿元整]+", False), ("货币金额", rf"¥[{T.SPACE}]*{_D}+[,{_D}]*\.?{_D}*", False), ("日期条款", f"{_D}{{4}}年{_D}{{1,2}}月{_D}{{1,2}}日", True), ("期限条款", "[合同协议]期[限间][：:]", True),
 ]
 # Words that tell the type of a clause, in order.
-CONTRACT_WORDS = [("当事人", "当事人信息"), *((w, f"{w}条款") for w in "贷款 借款 还款 利息 利率 担保 抵押 质押 保证 违约 赔偿 争议 仲裁 诉讼 保密 生效 终止 解除 通知 送达 附件 签字 盖章".split())]
+CONTRACT_WORDS = [
+    ("当事人", "当事人信息"), ("贷款", "贷款条款"), ("借款", "借款条款"), ("还款", "还款条款"), ("利息", "利息条款"), ("利率", "利率条款"),
+    ("担保", "担保条款"), ("抵押", "抵押条款"), ("质押", "质押条款"), ("保证", "保证条款"), ("违约", "违约条款"), ("赔偿", "赔偿条款"),
+    ("争议", "争议条款"), ("仲裁", "仲裁条款"), ("诉讼", "诉讼条款"), ("保密", "保密条款"), ("生效", "生效条款"), ("终止", "终止条款"),
+    ("解除", "解除条款"), ("通知", "通知条款"), ("送达", "送达条款"), ("附件", "附件条款"), ("签字", "签字条款"), ("盖章", "盖章条款"),
+]
 PARTIES = ["甲方", "乙方", "借款人", "贷款人", "出借人", "保证人", "抵押人"]
 PREAMBLE, PREAMBLE_PRIORITY, PARAGRAPH_PRIORITY = "合同前言", 0, 999
 LAW_MIN, CONTRACT_MIN = 20, 30
