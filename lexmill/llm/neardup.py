@@ -133,7 +133,7 @@ def _router(parts: int):
 
 
 def _nodes(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The upper nodes with at least two classes: one row a class. Holds one part of the keys, whose size is set by the parts."""
+    """The upper nodes with at least two classes: one row a class. Holds the parts of one task, whose size the number of parts sets."""
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for batch in stream:
         for part, keys, ids, many in zip(*(c.to_pylist() for c in batch.columns)):

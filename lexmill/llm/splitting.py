@@ -127,7 +127,7 @@ def split_oversized(chunks: DataFrame, rules: DataFrame) -> DataFrame:
     own = limits.where("clause_type <> '*'").select(F.col("clause_type").alias("__type"), F.col("r").alias("__own"))
     rest = limits.where("clause_type = '*'").select(F.lit(1).alias("__one"), F.col("r").alias("__rest"))
     slim = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("text").cast("string").alias("text"), F.col("chunk_index").cast("int").alias("chunk_index"), "header", "clause_type", "loaded_at", F.lit(1).alias("__one"))
-    ruled = slim.where("chunk_id IS NOT NULL AND text IS NOT NULL").join(own, slim.clause_type == own.__getattr__("__type"), "left").join(rest, "__one", "left")
+    ruled = slim.where("chunk_id IS NOT NULL AND text IS NOT NULL").join(own, F.col("clause_type") == F.col("__type"), "left").join(rest, "__one", "left")
     ruled = ruled.withColumn("__r", F.coalesce("__own", "__rest")).select("chunk_id", "text", "chunk_index", "header", F.col("__r.m").alias("max_chars"), F.greatest(F.col("__r.o"), F.lit(0)).alias("overlap_chars"), "loaded_at")
     long = ruled.where("max_chars > 0 AND length(text) > max_chars")
     once = long.groupBy("chunk_id").agg(F.max(F.struct("loaded_at", "text", "chunk_index", "header", "max_chars", "overlap_chars")).alias("r"))
