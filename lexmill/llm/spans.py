@@ -8,9 +8,10 @@ least ``MIN_SPAN`` characters are shared spans. Only blocks that two documents h
 text only the ``MIN_SPAN`` characters around it that decide, so the exchange is small.
 
 Completeness: with phrases of ``PHRASE`` characters and windows of ``MIN_SPAN - PHRASE + 1`` phrases, any common passage of
-``MIN_SPAN`` characters contains a whole window and so a common phrase start. Of phrase starts that repeat closely in
-one document (runs, periodic text) the first and the last of the chain are kept, which is enough to align two runs; a run
-that shares a whole span is taken as shared to its end.
+``MIN_SPAN`` characters contains a whole window and so a common phrase start. Starts are left out only within text that is
+proven periodic (equal to itself, shifted by the distance of the starts), where the first two and the last two of a run are
+kept: a passage inside the run stands at the second start as well, which then is the one in common, and a passage that
+goes beyond an end of the run contains the start at that end. Repeats with differing text between them are all kept.
 
 Defined cases: null and short texts share nothing; a passage repeated within one document alone is not shared; an id that
 comes twice counts once; empty tables give no rows; columns other than the id and the text are not read.
@@ -44,8 +45,8 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
 
 
 def phrase_starts(cp: np.ndarray, lens: np.ndarray, span: int = MIN_SPAN, phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the sampled phrases in texts laid end to end, the phrases' hashes, and how far a chain of close
-    repeats goes on from its first phrase."""
+    """Positions of the sampled phrases in texts laid end to end, the phrases' hashes, and for the first two phrases of a
+    thinned run how far the last but one ends from there."""
     window = span - phrase + 1
     if len(cp) < span:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -75,18 +76,31 @@ def phrase_starts(cp: np.ndarray, lens: np.ndarray, span: int = MIN_SPAN, phrase
     edge = np.zeros(window - 1, np.uint64)
     high = _sliding(np.concatenate([edge, low, edge]), window, np.maximum)
     at = np.flatnonzero((high == h) & whole[: len(h)])
-    # close repeats of one phrase in one text: keep the ends of the chain
+    # repeats of one phrase in one text at one distance, with the same text after each: a periodic run
     mark = h[at]
     text = np.searchsorted(ends, at, side="right")
     order = np.lexsort((at, mark, text))
     a, m, t = at[order], mark[order], text[order]
-    linked = (m[1:] == m[:-1]) & (t[1:] == t[:-1]) & (np.diff(a) <= window)
-    first, last = ~np.append(False, linked), ~np.append(linked, False)
-    reach = np.where(first, a[last][np.cumsum(first) - 1] - a, 0) if len(a) else a
-    keep = first | last
-    at, reach = a[keep], reach[keep]
-    order = np.argsort(at, kind="stable")
-    return at[order], h[at[order]], reach[order]
+    step = np.diff(a)
+    linked = (m[1:] == m[:-1]) & (t[1:] == t[:-1]) & (step <= window)
+    inner = np.zeros(len(a) + 2, bool)  # by number + 1: does the run go on to both sides
+    q = np.flatnonzero(linked[1:] & linked[:-1] & (step[1:] == step[:-1])) + 1
+    far = step[q] > phrase  # up to the phrase's length the phrases themselves prove it
+    inner[q[~far] + 1] = True
+    q = q[far]
+    col = np.arange(window)
+    more = col < step[q][:, None]
+    here = np.where(more, a[q][:, None] + col, 0)
+    inner[q[(cp[here] == cp[np.where(more, here - step[q][:, None], 0)]).all(1)] + 1] = True
+    keep = ~(inner[:-2] & inner[1:-1] & inner[2:])
+    reach = np.zeros(len(a), np.int64)
+    first, last = np.flatnonzero(inner[1:] & ~inner[:-1]), np.flatnonzero(inner[:-1] & ~inner[1:]) - 1
+    first, last = first[last - first > 1], last[last - first > 1]
+    for x in (first - 1, first):
+        reach[x] = a[last] + phrase - a[x]
+    a, m, reach = a[keep], m[keep], reach[keep]
+    order = np.argsort(a, kind="stable")
+    return a[order], m[order], reach[order]
 
 
 def _codes(texts: list[str]) -> np.ndarray:
@@ -225,7 +239,7 @@ def _coverer(span: int, phrase: int):
                     np.maximum.at(r_best, x, r_len[ok])
             # a run that goes on past a whole span of it is shared as far as it goes
             whole = (r_best >= span) & (reach > 0)
-            r_best = np.where(whole, np.maximum(r_best, reach + phrase), r_best)
+            r_best = np.where(whole, np.maximum(r_best, reach), r_best)
             hit = np.flatnonzero(r_best >= 0)
             if len(hit):
                 yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array((place - l_best)[hit].astype(np.int32)), pa.array((place + r_best)[hit].astype(np.int32))], ["doc", "a", "b"])
