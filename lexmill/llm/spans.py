@@ -12,6 +12,8 @@ Completeness: with phrases of ``PHRASE`` characters and windows of ``MIN_SPAN -
 proven periodic (equal to itself, shifted by the distance of the starts), where the first two and the last two of a run are
 kept: a passage inside the run stands at the second start as well, which then is the one in common, and a passage that
 goes beyond an end of the run contains the start at that end. Repeats with differing text between them are all kept.
+A run counts as shared throughout only if a factor of ``MIN_SPAN`` characters lies within its periodic text: then the same
+characters stand there again at every further period, and the factors of its first and last starts give the exact ends.
 
 Defined cases: null and short texts share nothing; a passage repeated within one document alone is not shared; an id that
 comes twice counts once; empty tables give no rows; columns other than the id and the text are not read.
@@ -45,11 +47,12 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
 
 
 def phrase_starts(cp: np.ndarray, lens: np.ndarray, span: int = MIN_SPAN, phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the sampled phrases in texts laid end to end, the phrases' hashes, and for the first two phrases of a
-    thinned run how far the last but one ends from there."""
+    """Positions of the sampled phrases in texts laid end to end, the phrases' hashes, and three numbers each, which are
+    not 0 for the first two phrases of a thinned run: how far the last phrase but one ends from there, and how far the
+    periodic text goes to the left and to the right (told exactly where a factor's text reaches)."""
     window = span - phrase + 1
     if len(cp) < span:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, 3), np.int64)
     h = (cp.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(32)
     size = 1
@@ -93,11 +96,19 @@ def phrase_starts(cp: np.ndarray, lens: np.ndarray, span: int = MIN_SPAN, phrase
     here = np.where(more, a[q][:, None] + col, 0)
     inner[q[(cp[here] == cp[np.where(more, here - step[q][:, None], 0)]).all(1)] + 1] = True
     keep = ~(inner[:-2] & inner[1:-1] & inner[2:])
-    reach = np.zeros(len(a), np.int64)
+    reach = np.zeros((len(a), 3), np.int64)
     first, last = np.flatnonzero(inner[1:] & ~inner[:-1]), np.flatnonzero(inner[:-1] & ~inner[1:]) - 1
     first, last = first[last - first > 1], last[last - first > 1]
+    period, run = step[first - 1] if len(first) else first, t[first]
+    low, high = (ends - lens)[run], ends[run]
+    col = np.arange(span)
+    back, on = a[first - 1][:, None] - 1 - col, a[last + 1][:, None] + phrase + col
+    in_back, in_on = back >= low[:, None], on < high[:, None]
+    in_back &= cp[np.where(in_back, back, 0)] == cp[np.where(in_back, back + period[:, None], 0)]
+    in_on &= cp[np.where(in_on, on, 0)] == cp[np.where(in_on, on - period[:, None], 0)]
+    left, right = (np.where(x.all(1), span, x.argmin(1)) for x in (in_back, in_on))
     for x in (first - 1, first):
-        reach[x] = a[last] + phrase - a[x]
+        reach[x] = np.stack([a[last] + phrase - a[x], left + a[x] - a[first - 1], a[last + 1] + phrase + right - a[x]], 1)
     a, m, reach = a[keep], m[keep], reach[keep]
     order = np.argsort(a, kind="stable")
     return a[order], m[order], reach[order]
@@ -127,18 +138,19 @@ def _sampler(span: int, phrase: int):
             gap[np.flatnonzero(np.diff(text, prepend=-1))] = 0  # the first of a text has none before it
             place = at - (ends - lens)[text]
             ids = batch.column(0).take(pa.array(text))
-            yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)), ids, pa.array(place.astype(np.int32)), pa.array(np.minimum(gap, 2**31 - 1).astype(np.int32)), pa.array(reach.astype(np.int32))], ["mark", "doc", "place", "gap", "reach"])
+            yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)), ids, pa.array(place.astype(np.int32)), pa.array(np.minimum(gap, 2**31 - 1).astype(np.int32)), *(pa.array(r.astype(np.int32)) for r in reach.T)], ["mark", "doc", "place", "gap", *_RUN])
 
     return run
 
 
-_CUT = "mark long, rows long, doc long, place int, gap int, reach int, before string, after string"
+_RUN = ["reach", "run_left", "run_right"]
+_CUT = f"mark long, rows long, doc long, place int, gap int, {' int, '.join(_RUN)} int, before string, after string"
 
 
 def _cutter(span: int, phrase: int):
     side = span - phrase
     names = [c.split()[0] for c in _CUT.split(", ")]
-    kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.string()] * 2
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 5 + [pa.string()] * 2
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(stream):
@@ -146,7 +158,7 @@ def _cutter(span: int, phrase: int):
             for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "wanted"))):
                 for w in wanted:
                     p = w["place"]
-                    rows.append((w["mark"], w["rows"], doc, p, w["gap"], w["reach"], text[max(0, p - side) : p], text[p : p + span]))
+                    rows.append((w["mark"], w["rows"], doc, p, w["gap"], *(w[c] for c in _RUN), text[max(0, p - side) : p], text[p : p + span]))
             columns = list(zip(*rows)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
@@ -230,15 +242,16 @@ def _pairer(span: int, phrase: int):
 def _coverer(span: int, phrase: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(stream):
-            doc, place, reach = (block.column(c).to_numpy() for c in ("doc", "place", "reach"))
+            doc, place, reach, run_left, run_right = (block.column(c).to_numpy() for c in ("doc", "place", *_RUN))
             l_best, r_best = np.full(len(doc), -1), np.full(len(doc), -1)
+            whole = np.zeros(len(doc), bool)
             for i, j, l_len, r_len in _factors(block.column("before").to_pylist(), block.column("after").to_pylist(), block.column("side").to_numpy(), span, phrase):
                 ok = doc[i] != doc[j]
                 for x in (i[ok], j[ok]):
                     np.maximum.at(l_best, x, l_len[ok])
                     np.maximum.at(r_best, x, r_len[ok])
-            # a run that goes on past a whole span of it is shared as far as it goes
-            whole = (r_best >= span) & (reach > 0)
+                    # a span shared inside a run stands in it at every further period: shared as far as the last ones tell
+                    whole[x[(reach[x] > 0) & (np.minimum(l_len[ok], run_left[x]) + np.minimum(r_len[ok], run_right[x]) >= span)]] = True
             r_best = np.where(whole, np.maximum(r_best, reach), r_best)
             hit = np.flatnonzero(r_best >= 0)
             if len(hit):
@@ -251,9 +264,9 @@ def reference_blocks(documents: DataFrame, key: str = "doc_id", text: str = "tex
     """The text around every phrase start that at least two documents have, in blocks for the factoring."""
     docs = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).where(f"doc IS NOT NULL AND length(text) >= {span}")
     docs = spread(docs)
-    starts = durable(docs.mapInArrow(_sampler(span, phrase), "mark long, doc long, place int, gap int, reach int"), "phrases")
+    starts = durable(docs.mapInArrow(_sampler(span, phrase), f"mark long, doc long, place int, gap int, {' int, '.join(_RUN)} int"), "phrases")
     common = starts.groupBy("mark").agg(F.count("*").alias("rows"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("mark", "rows")
-    wanted = starts.join(common, "mark").groupBy("doc").agg(F.collect_set(F.struct("mark", "rows", "place", "gap", "reach")).alias("wanted"))
+    wanted = starts.join(common, "mark").groupBy("doc").agg(F.collect_set(F.struct("mark", "rows", "place", "gap", *_RUN)).alias("wanted"))
     cut = docs.join(wanted, "doc").mapInArrow(_cutter(span, phrase), _CUT)
     return block_pairs(cut, "mark", F.col("rows"), F.struct("doc", "place"), 1024).repartition("block_key").sortWithinPartitions("block_key")
 

@@ -38,6 +38,14 @@ def test_pairs_of_tables_and_runs(spark):
     assert {(r.doc_a, r.doc_b) for r in spans.shared_pairs(df).collect()} == shared(texts, 120)[0]
 
 
+def test_parts_of_tables_and_runs(spark):
+    texts = documents(4)
+    got = {i: [False] * len(t) for i, t in texts.items()}
+    for r in spans.shared_parts(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        got[r.doc_id][r.start : r.start + r.length] = [True] * r.length
+    assert {i: sum(hit) for i, hit in got.items()} == shared(texts, 120)[1]
+
+
 def test_long_runs_stay_thin():
     text = "x" + "=" * 5000 + "y"
     cp = spans._codes([text])
