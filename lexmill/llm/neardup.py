@@ -299,19 +299,21 @@ def alike_pairs(rows: DataFrame, key: str, text: str, threshold: float = THRESHO
     return across.unionByName(within)
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """``class, group``: the smallest class of each connected set, by hooking to the smallest neighbour and jumping."""
+def components(edges: DataFrame) -> DataFrame:
+    """``class, group``: the smallest class of each connected set, by FastSV: the least label of the neighbours' labels goes
+    to a class and to its label's class, so trees are hooked whole and long chains take few rounds; it ends when nothing
+    changes."""
     both = durable(edges.select(F.col("class_a").alias("x"), F.col("class_b").alias("y")).unionByName(edges.select(F.col("class_b").alias("x"), F.col("class_a").alias("y"))), "edges")
     label = durable(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("g")), "labels")
-    for _ in range(most):
-        near = both.join(label.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("g").alias("h"))
-        hooked = label.join(near, "x").select("x", "g", F.least("g", "h").alias("h"))
-        jump = label.select(F.col("x").alias("h"), F.col("g").alias("k"))
-        after = durable(hooked.join(jump, "h", "left").select("x", "g", F.least("h", F.coalesce("k", "h")).alias("n")), "labels")
-        changed = after.where("n < g").limit(1).count()
+    changed = True
+    while changed:
+        above = label.join(label.select(F.col("x").alias("g"), F.col("g").alias("k")), "g").select("x", "g", "k")
+        near = both.join(above.select(F.col("x").alias("y"), "k"), "y").groupBy("x").agg(F.min("k").alias("h"))
+        met = durable(above.join(near, "x").select("x", "g", F.least("k", "h").alias("h")), "met")
+        roots = met.groupBy(F.col("g").alias("x")).agg(F.min("h").alias("r"))
+        after = durable(met.join(roots, "x", "left").select("x", "g", F.least("h", F.coalesce("r", "h")).alias("n")), "labels")
+        changed = after.where("n < g").limit(1).count() > 0
         label = after.select("x", F.col("n").alias("g"))
-        if not changed:
-            break
     return label.select(F.col("x").alias("class"), F.col("g").alias("group"))
 
 
