@@ -1,49 +1,59 @@
 """Text cut off by field limits or in mid-transfer.
 
-Three kinds of evidence meet, all from the whole table:
-
-* lengths: for each source, field and unit (characters, bytes) the discrete hazard of ending at a length is compared, by
-  window functions, with the pooled hazard of the neighbouring lengths; p-values are held against a false discovery rate
-  by Benjamini-Hochberg. Lengths that stay significant are limits.
-* endings: how often the last few characters of a value are followed by the end of a sentence, a line or a value anywhere
-  in the field. Endings that the field hardly ever ends with are cuts, endings it usually has are none (a missing final
-  sign alone); those between the two count as cut at significant lengths, or if another value goes on from there (for
-  responses, sorted neighbours with a long common start).
-* form: marks of a cut, list entries without text, hits that the prompt (built before storing) shows to be longer or
-  more, and answers in the prompt's format that stop before the last section.
-
-A hit shortened to 100 characters and ``...`` by the retrieval step is no cut, and neither is a response that only repeats
-the prompt.
+The lengths carry the search, the whole table is its ground:
+
+* lengths: for each source, field and unit (characters, bytes) windows over the distinct lengths give the discrete hazard
+  of ending at a length. Each is tested against the pooled hazard of the lengths around it: given all endings of the
+  neighbourhood, the number at the length is binomial with its share of the values at risk. The exact upper tails of all
+  tests are held against one false discovery rate (Benjamini-Hochberg). The unit is the distinct value, so stock answers
+  count once; endings made by the retrieval step (a hit shortened to 100 characters and ``...``) are no events.
+* endings: how often the last characters of a value are followed by the end of a sentence, a line or a value elsewhere in
+  the field. At a significant length an ending counts as incomplete unless the field mostly ends there; the same if a
+  sorted neighbour goes on from the value. Elsewhere it counts only if the field hardly ever ends there.
+* form, for what neither can tell: marks of a cut, list entries that the prompt (built before storing) shows to be longer
+  or more, answers in the prompt's format that stop before the last section.
 
 Defined cases: null, empty and blank values are no cuts; a null source is a source of its own; of rows with one id the one
-loaded last counts; a null prompt shows nothing; an empty table gives no rows.
+loaded last counts; a null prompt shows nothing; a response that only repeats what was asked is no cut; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.neardup import compact
 from lexmill.llm.spans import _slices
-from lexmill.runtime import durable, table
+from lexmill.runtime import durable, parallelism, table
 
-TAIL = 5  # characters of an ending
-NEIGHBOURS = 10  # lengths on either side that a length is held against
+TAIL = 5  # characters of an ending; a shorter value is weighed whole
+NEIGHBOURS = 12  # lengths on either side that a length is held against
+GUARD = 2  # lengths next to it that are left out: a limit in bytes shows up to two bytes early
 RATE = 0.01  # false discovery rate
-START = 40  # characters that neighbours must have in common
+RARE, USUAL = 0.2, 0.8  # share of ends after an ending: below, it is none by itself; above, it is one even at a limit
 
 # The sections of the answer format, first, second and last, in both languages.
 SECTIONS = (("风险等级", "风险点", "复核提示"), ("Risk level", "Risk points", "Review note"))
-MARK = r"(…|\.\.\.|�|[\[（(【<][^\[\]（）()【】<>]{0,12}(截断|过长|超长|未完|省略|truncated|cut off)[^\[\]（）()【】<>]{0,12}[\]）)】>])$"
-SHORT_HIT = r"^\d+\. \[[^\]\n]*\] ?[^\n]{100}\.\.\.$"
-HIT = r"^\d+\. \[[^\]\n]*\d\] ?[^\s\]]"
+FIELDS = ("retrieved_knowledge", "response")
+MARK = re.compile(r"(…|\.\.\.|�|[\[（(【<][^\[\]（）()【】<>]{0,12}(截断|过长|超长|未完|省略|truncated|cut off)[^\[\]（）()【】<>]{0,12}[\]）)】>])\Z")
+SHORT_HIT = re.compile(r"\d+\. \[[^\]\n]*\] ?[^\n]{100}\.\.\.\Z")
+HIT = re.compile(r"\d+\. \[[^\]\n]*\d\] ?[^\s\]]")
+_LISTED = re.compile(r"【检索结果|\d+\. \[")
+_NUMBERED = re.compile(r"\d+\. ")
+_HEAD = re.compile(r"(\d+)\. \[[^\]]*\] ?")
+_REF_HEAD = re.compile(r"\d+\. (\[[^\]]*\] ?)?")
 _SIGNS = "。！？!?"
-_ABBREVIATED = r"(\d|\b(ref|no|cf|art|cl|No|Art|[A-Z]|[A-Z]\.[A-Z]|a\.s))\.$"
+_ABBREVIATED = re.compile(r"(\d|\b(ref|no|cf|art|cl|No|Art|[A-Z]|[A-Z]\.[A-Z]|a\.s))\.\Z")
+_BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace()) + "​﻿"  # U+3000 is the last white space
+_ZERO = str.maketrans("123456789", "0" * 9)
 
 
 def latest(rows: DataFrame) -> DataFrame:
@@ -53,14 +63,6 @@ def latest(rows: DataFrame) -> DataFrame:
     return one.select("result_id", *(f"r.{c}" for c in columns[1:]))
 
 
-def _copies(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in stream:
-        flags = []
-        for prompt, clause, response in zip(*(batch.column(c).to_pylist() for c in ("prompt", "clause", "response"))):
-            flags.append(repeats(response, f"{prompt or ''}\n{clause or ''}"))
-        yield batch.select(["result_id"]).append_column("copied", pa.array(flags, pa.bool_()))
-
-
 def repeats(response: str | None, asked: str, run: int = 6, share: float = 0.7) -> bool:
     """Does the response only repeat what was asked: most of its runs of characters stand there."""
     form = compact(response or "")
@@ -75,136 +77,268 @@ def repeats(response: str | None, asked: str, run: int = 6, share: float = 0.7)
     return sum(r in asked for r in runs) >= share * len(runs)
 
 
-def values(rows: DataFrame) -> DataFrame:
-    """``result_id, source, field_name, value, prompt`` of every value that is not blank, without blanks at its end."""
-    entries = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in ("retrieved_knowledge", "response")))
-    long = rows.select("result_id", "source", "prompt", F.explode(entries).alias("e")).select("result_id", "source", "prompt", "e.field_name", F.col("e.value").alias("stored"))
-    return long.withColumn("value", F.regexp_replace("stored", r"(?U)[\s​﻿]+$", "")).where("value <> ''")
+# --- one value -----------------------------------------------------------------------------------------------------------
+
+
+def _listed(prompt: str | None) -> list[str]:
+    """The hits that the prompt shows, on one line each."""
+    part = re.split(r"【参考资料】|\[References\]", prompt or "", maxsplit=1)
+    if len(part) < 2:
+        return []
+    lines = re.split(r"【回答格式】|\[Format\]", part[1], maxsplit=1)[0].split("\n")
+    return [" ".join(_REF_HEAD.sub("", x, count=1).split()) for x in lines if _NUMBERED.match(x) and "无相关" not in x]
+
+
+def _broken_list(value: str, last: str, prompt: str | None) -> bool:
+    """Does a list of hits stop before what the prompt, built from the whole list, shows of it."""
+    if not _LISTED.match(value):
+        return False
+    if not HIT.match(last):
+        return True
+    refs = _listed(prompt)
+    hits = sum(bool(HIT.match(x)) for x in value.split("\n"))
+    if 0 < hits < len(refs):
+        return True
+    no = int(_HEAD.match(last)[1]) - 1
+    if not 0 <= no < len(refs):
+        return False
+    hit = " ".join(_HEAD.sub("", last, count=1).split())
+    return refs[no].startswith(hit) and len(refs[no]) > len(hit) + 1
+
+
+def _stops(value: str) -> bool:
+    """Does an answer in the prompt's format stop before its last section."""
+    for first, second, final in SECTIONS:
+        begun, closed = first in value, final in value
+        if closed and not value.rpartition(final)[2].lstrip(" :：\n\t").strip():
+            return True
+        if begun and second in value and not closed:
+            return True
+        if begun and re.match(rf"{first}\s*[:：]?\s*\S{{0,6}}\Z", value) or len(value) > 1 and first.startswith(value) and value[-1] not in "。.":
+            return True
+    return False
+
+
+def _hashes(cp: np.ndarray, at: np.ndarray, field: int) -> np.ndarray:
+    h = np.full(len(at), field + 1, np.uint64)
+    for k in range(TAIL):
+        h = (h ^ cp[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
 
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts end to end, digits alike, each with ``TAIL - 1`` signs 0 before and a line end after it; and their lengths."""
+    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+    lead = "\0" * (TAIL - 1)
+    cp = np.frombuffer("".join(f"{lead}{t}\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    cp[(cp > 0x30) & (cp <= 0x39)] = 0x30
+    return cp, lens
 
-def length_hazards(long: DataFrame, rate: float = RATE, around: int = NEIGHBOURS) -> DataFrame:
-    """Every length of every source, field and unit with its hazard, p-value and whether it is a significant limit.
 
-    The windows run over distinct lengths, not over rows, so a hot source costs no more than a rare one.
+_FACTS = "result_id long, source string, field_name string, chars int, bytes int, key binary, event boolean, sealed boolean, form boolean, copied boolean, tail long"
+
+
+def _facts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each value that is not blank shows by itself."""
+    names = [c.split()[0] for c in _FACTS.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64()]
+    for batch in _slices(stream):
+        rows, tails = [], []
+        for rid, source, clause, prompt, *stored in zip(*(batch.column(c).to_pylist() for c in ("result_id", "source", "clause", "prompt", *FIELDS))):
+            for n, (field, text) in enumerate(zip(FIELDS, stored)):
+                value = (text or "").rstrip(_BLANKS)
+                if not value:
+                    continue
+                last = value.rpartition("\n")[2]
+                short = bool(SHORT_HIT.match(last))
+                mark = None if short else MARK.search(value[-40:])
+                sign = value[-1]
+                sealed = not mark and (short or sign in _SIGNS or sign == "." and not _ABBREVIATED.search(value[-8:]))
+                form = bool(mark) or (_stops(value) if n else _broken_list(value, last, prompt))
+                size = text if not mark else value[: len(value) - len(mark[0])]
+                copied = bool(n) and (form or not sealed) and repeats(value, f"{prompt or ''}\n{clause or ''}")
+                rows.append((rid, source, field, len(size), len(size.encode("utf-8", "surrogatepass")), xxhash.xxh3_128_digest(value.encode("utf-8", "surrogatepass")), not short, sealed, form, copied))
+                tails.append(value[-TAIL:])
+        if not rows:
+            continue
+        cp, lens = _codes(tails)
+        ends = np.cumsum(lens + TAIL) - 1 - TAIL
+        field = np.array([FIELDS.index(r[2]) for r in rows])
+        tail = np.where(field == 0, _hashes(cp, ends, 0), _hashes(cp, ends, 1)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows), kinds)), pa.array(tail)], names)
+
+
+# --- lengths -------------------------------------------------------------------------------------------------------------
+
+
+def _log_gamma(x: Column) -> Column:
+    """``ln Gamma(x)`` for x >= 1, by the Stirling series at x + 7."""
+    y = x + 7
+    low = x
+    for k in range(1, 7):
+        low = low * (x + k)
+    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, 5)) - F.log(low)
+
+
+def _upper_tail(n: Column, total: Column, share: Column, terms: int = 64) -> Column:
+    """``P(X >= n)`` of a binomial: the first terms summed, the rest bounded by a geometric series."""
+    rest = total - n
+    first = F.exp(_log_gamma(total + 1) - _log_gamma(n + 1) - _log_gamma(rest + 1) + n * F.log(share) + F.when(rest > 0, rest * F.log(1 - share)).otherwise(0.0))
+    odds = share / (1 - share)
+    start = F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term"))
+
+    def step(acc: Column, k: Column) -> Column:
+        term = acc.term * F.greatest(rest - k, F.lit(0.0)) / (n + k + 1) * odds
+        return F.struct((acc.sum + term).alias("sum"), term.alias("term"))
+
+    ratio = F.least(F.greatest(rest - terms, F.lit(0.0)) / (n + terms + 1) * odds, F.lit(0.999))
+    series = F.aggregate(F.sequence(F.lit(0), F.lit(terms - 1)), start, step, lambda acc: acc.sum + acc.term * ratio / (1 - ratio))
+    return F.when(n <= total * share, F.lit(1.0)).otherwise(F.least(F.lit(1.0), first * series))
+
+
+def length_hazards(facts: DataFrame, rate: float = RATE, around: int = NEIGHBOURS) -> DataFrame:
+    """Every length of every source, field and unit with its hazard, its neighbours' hazard, p-value and whether it is a limit.
+
+    The windows run over lengths, not over rows, so a hot source costs no more than a rare one. Lengths without endings
+    get a row only within ``around`` of one that has some, since further ones bear on no test.
     """
-    units = F.array(F.struct(F.lit("chars").alias("unit"), F.length("stored").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("stored").alias("length")))
-    counts = long.select("source", "field_name", F.explode(units).alias("u")).groupBy("source", "field_name", "u.unit", "u.length").agg(F.count("*").alias("n"))
     key = ["source", "field_name", "unit"]
+    values = facts.groupBy("source", "field_name", "key").agg(F.min("chars").alias("chars"), F.min("bytes").alias("bytes"), F.max("event").alias("event"))
+    units = F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))
+    counts = values.select("source", "field_name", "event", F.explode(units).alias("u")).groupBy("source", "field_name", "u.unit", "u.length").agg(F.count("*").alias("left"), F.count_if("event").alias("n"))
     w = Window.partitionBy(*key).orderBy("length")
-    counts = counts.withColumn("at_risk", F.sum("n").over(Window.partitionBy(*key).orderBy(F.desc("length"))))
-    near = w.rangeBetween(-around, around)
-    counts = counts.withColumn("near_n", F.sum("n").over(near) - F.col("n")).withColumn("near_risk", F.max("at_risk").over(near) * F.lit(2 * around))
-    counts = counts.withColumn("hazard", F.col("n") / F.col("at_risk")).withColumn("base", (F.col("near_n") + 1) / (F.col("near_risk") + 1))
-    # where few are left the hazard rises by itself; there the neighbours' numbers tell what is usual
-    mean = F.greatest(F.col("base") * F.col("at_risk"), F.col("near_n") / F.lit(around), F.lit(0.05))
-    z = 2 * (F.sqrt(F.col("n") + 0.375) - F.sqrt(mean + 0.375))
-    counts = counts.withColumn("p", 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z)))
-    by_p = Window.partitionBy(*key).orderBy("p", "length")
-    counts = counts.withColumn("rank", F.row_number().over(by_p)).withColumn("tests", F.count("*").over(Window.partitionBy(*key)))
-    passed = F.when((F.col("p") <= F.col("rank") * rate / F.col("tests")) & (F.col("n") >= 3), F.col("rank"))
-    counts = counts.withColumn("last", F.max(passed).over(Window.partitionBy(*key)))
-    return counts.select(*key, "length", "n", "at_risk", "hazard", "base", "p", (F.coalesce(F.col("rank") <= F.col("last"), F.lit(False)) & (F.col("n") >= 3)).alias("is_limit"))
-
-
-def _digits(text: Column) -> Column:
-    return F.translate(text, "123456789", "0" * 9)
+    counts = counts.withColumn("at_risk", F.sum("left").over(Window.partitionBy(*key).orderBy(F.desc("length"))))
+    counts = counts.withColumn("before", F.lag("length").over(w))
+    # the rows of the lengths around: up to ``around`` after the one before, from ``around`` before this one
+    gap = F.col("length") - F.coalesce("before", F.col("length") - around - 1)
+    offsets = F.when(gap <= 2 * around, F.sequence(F.lit(0), gap - 1)).otherwise(F.concat(F.sequence(F.lit(0), F.lit(around)), F.sequence(gap - around, gap - 1)))
+    every = counts.select(*key, F.explode(offsets).alias("o"), "length", "n", "at_risk")
+    every = every.select(*key, (F.col("length") - F.col("o")).alias("length"), F.when(F.col("o") == 0, F.col("n")).otherwise(0).alias("n"), "at_risk", (F.col("o") == 0).alias("seen"))
+    near, far = w.rangeBetween(-around, around), w.rangeBetween(-GUARD, GUARD)
+    every = every.withColumn("near_n", F.sum("n").over(near) - F.sum("n").over(far)).withColumn("near_risk", F.sum("at_risk").over(near) - F.sum("at_risk").over(far))
+    tests = every.where("seen AND n > 0")
+    share = F.col("at_risk") / (F.col("at_risk") + F.col("near_risk"))
+    tests = tests.withColumn("p", F.when(F.col("near_risk") > 0, _upper_tail(F.col("n").cast("double"), (F.col("n") + F.col("near_n")).cast("double"), share)).otherwise(1.0))
+    tests = tests.withColumn("hazard", F.col("n") / F.col("at_risk")).withColumn("base", F.col("near_n") / F.greatest("near_risk", F.lit(1)))
+    # ranks over all tests: cells of p-values are summed up, and only within a cell rows are put in order
+    tests = tests.withColumn("cell", F.floor(F.greatest(F.log("p"), F.lit(-700.0)) * -8).cast("int"))
+    alone = Window.partitionBy(F.lit(1))  # one row a cell, at most 5,601
+    cells = tests.groupBy("cell").agg(F.count("*").alias("c")).withColumn("tests", F.sum("c").over(alone))
+    cells = cells.withColumn("less", F.sum("c").over(alone.orderBy(F.desc("cell"))) - F.col("c"))
+    ranked = tests.where(F.col("p") <= rate).join(cells.select("cell", "less", "tests"), "cell")
+    ranked = ranked.withColumn("rank", F.col("less") + F.row_number().over(Window.partitionBy("cell").orderBy("p", *key, "length")))
+    last = ranked.where(F.col("p") <= F.col("rank") * rate / F.col("tests")).agg(F.max("p").alias("last"))
+    return tests.crossJoin(F.broadcast(last)).select(*key, "length", "n", "at_risk", "hazard", "base", "p", F.coalesce(F.col("p") <= F.col("last"), F.lit(False)).alias("is_limit"))
+
+
+# --- endings -------------------------------------------------------------------------------------------------------------
+
+
+def distinct_values(rows: DataFrame) -> DataFrame:
+    """``field_name, value``: every value once; copies are put together before the exchange."""
+    entries = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in FIELDS))
+    return rows.select(F.explode(entries).alias("e")).select("e.field_name", F.rtrim("e.value").alias("value")).where("value <> ''").distinct()
 
 
 def _count_runs(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(stream):
-        fields, every = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for field in sorted(set(fields)):
-            texts = [v for f, v in zip(fields, every) if f == field]
-            lens = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-            cp = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32).copy()
-            cp[(cp > 0x30) & (cp <= 0x39)] = 0x30
-            count = np.maximum(lens - TAIL, 0)
-            at = np.arange(count.sum()) + np.repeat((np.cumsum(lens) - lens) - (np.cumsum(count) - count), count)
-            if not len(at):
+    for batch in _slices(stream, 6_000_000):
+        fields = batch.column(0).to_pylist()
+        every = [v.rstrip(_BLANKS) for v in batch.column(1).to_pylist()]
+        for n, field in enumerate(FIELDS):
+            texts = [v for f, v in zip(fields, every) if f == field and v]
+            if not texts:
                 continue
-            h = np.zeros(len(at), np.uint64)
-            for k in range(TAIL):
-                h = (h ^ cp[at + k]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            _, pick, which = np.unique(h, return_index=True, return_inverse=True)
-            seen = np.bincount(which)
+            cp, lens = _codes(texts)
+            at = np.arange(lens.sum()) + np.repeat(np.arange(len(texts)) * TAIL, lens)
+            _, pick, which = np.unique(h := _hashes(cp, at, n), return_index=True, return_inverse=True)
             ended = np.bincount(which, np.isin(cp[at + TAIL], [ord(c) for c in "。.！？!?\n"]))
-            joined = cp[at[pick][:, None] + np.arange(TAIL)].tobytes().decode("utf-32-le", "surrogatepass")
-            tails = [joined[k : k + TAIL] for k in range(0, len(joined), TAIL)]
-            yield pa.RecordBatch.from_arrays([pa.array([field] * len(tails)), pa.array(tails), pa.array(seen), pa.array(ended.astype(np.int64))], ["field_name", "tail", "seen", "ended"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[pick].view(np.int64)), pa.array(np.bincount(which)), pa.array(ended.astype(np.int64))], ["tail", "seen", "ended"])
 
 
-def endings(long: DataFrame) -> DataFrame:
-    """``field_name, tail, seen, ended``: the runs of ``TAIL`` characters of all values, and how often an end follows.
+def endings(texts: DataFrame) -> DataFrame:
+    """``tail, seen, ended``: the runs of ``TAIL`` characters of all values, and how often an end follows.
 
     Each batch counts its own runs first, so what is exchanged are distinct runs with their numbers.
     """
-    counted = long.select("field_name", "value").mapInArrow(_count_runs, "field_name string, tail string, seen long, ended long")
-    return counted.groupBy("field_name", "tail").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
+    return texts.mapInArrow(_count_runs, "tail long, seen long, ended long").groupBy("tail").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
 
 
-def shortened(long: DataFrame) -> DataFrame:
-    """Responses that another one goes on from: among sorted texts with one start, the next begins with the whole text."""
-    texts = long.where(f"field_name = 'response' AND length(value) >= {START}").select("value").distinct()
-    start = Window.partitionBy(F.substring("value", 1, START)).orderBy("value")
-    goes_on = texts.withColumn("next", F.lead("value").over(start))
-    return goes_on.where(F.col("next").startswith(F.col("value"))).select("value", F.lit(True).alias("goes_on"))
+def _next_ones(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the sorted values of one range: keys of those the next one goes on from, and the range's first and last value."""
+    part = TaskContext.get().partitionId()
+    mark = lambda f, v: xxhash.xxh3_128_digest(v.rstrip(_BLANKS).encode("utf-8", "surrogatepass"))
+    held: tuple[str, str] | None = None
+    first = None
+    names, kinds = ["part", "side", "field_name", "value", "key"], [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.binary()]
+    for batch in stream:
+        rows = []
+        for now in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if first is None:
+                first = now
+            elif held and held[0] == now[0] and now[1].startswith(held[1]):
+                rows.append((part, 0, held[0], None, mark(*held)))
+            held = now
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+    if held:
+        rows = [(part, 1, *first, mark(*first)), (part, 2, *held, mark(*held))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+
+def shortened(texts: DataFrame) -> DataFrame:
+    """``field_name, key`` of the values that another one goes on from.
+
+    All distinct values of both fields are sorted, over ranges of equal size; in that order a value that others begin with
+    stands right before one of them. The ranges meet by their first and last values alone, two rows a range.
+    """
+    ranges = parallelism(texts.sparkSession)
+    met = durable(texts.repartitionByRange(ranges, "field_name", "value").sortWithinPartitions("field_name", "value").mapInArrow(_next_ones, "part int, side int, field_name string, value string, key binary"), "sorted")
+    edges = met.where("side > 0")
+    order = Window.partitionBy(F.lit(1)).orderBy("part", "side")  # two rows a range
+    following = edges.withColumn("next", F.lead("value").over(order)).withColumn("next_field", F.lead("field_name").over(order))
+    over = following.where("side = 2 AND next_field = field_name AND startswith(next, value)")
+    return met.where("side = 0").select("field_name", "key").unionByName(over.select("field_name", "key")).distinct()
 
 
-def cut_values(rows: DataFrame) -> DataFrame:
-    """``result_id, source, field_name, is_cut`` of all values that are not blank."""
+# --- verdict -------------------------------------------------------------------------------------------------------------
+
+
+def weighed_values(rows: DataFrame) -> DataFrame:
+    """Every value that is not blank with what speaks for a cut: ``at_limit``, ``goes_on``, ``ends_here`` (the share of other
+    places where an end follows its last characters; null where its sign closes it), ``stock_here`` (the same with the
+    copies of the whole value: a stock answer is no cut, wherever it ends), ``form``, ``copied``."""
     rows = durable(latest(rows), "reviews")
-    long = values(rows)
-    limits = length_hazards(long).where("is_limit")
-    last_line = F.substring_index("value", "\n", -1)
-    sign = F.substring("value", -1, 1)
-    sure = sign.isin(*_SIGNS) | ((sign == ".") & ~F.col("value").rlike(_ABBREVIATED))
-    long = long.withColumn("last_line", last_line).withColumn("short_hit", F.col("last_line").rlike(SHORT_HIT))
-    long = long.withColumn("mark", F.col("value").rlike(MARK) & ~F.col("short_hit"))
-    long = long.withColumn("ended", (sure | F.col("short_hit")) & ~F.col("mark"))
-    # the prompt's list of hits
-    listed = F.get(F.split(F.get(F.split("prompt", r"【参考资料】|\[References\]"), F.lit(1)), r"【回答格式】|\[Format\]"), F.lit(0))
-    refs = F.filter(F.split(F.coalesce(listed, F.lit("")), "\n"), lambda x: x.rlike(r"^\d+\. ") & ~x.contains("无相关"))
-    refs = F.transform(refs, lambda x: F.regexp_replace(F.regexp_replace(x, r"^\d+\. (\[[^\]]*\] ?)?", ""), r"(?U)\s+", " "))
-    long = long.withColumn("refs", refs)
-    long = long.withColumn("hits", F.size(F.filter(F.split("value", "\n"), lambda x: x.rlike(HIT))))
-    no = F.regexp_extract("last_line", r"^(\d+)\. \[", 1)
-    hit = F.regexp_replace(F.regexp_replace("last_line", r"^\d+\. \[[^\]]*\] ?", ""), r"(?U)\s+", " ")
-    ref = F.get(F.col("refs"), F.when(no != "", no.cast("int") - 1).otherwise(F.lit(-1).cast("int")))
-    longer = F.coalesce(F.col("last_line").rlike(HIT) & ref.startswith(hit) & (F.length(ref) > F.length(hit) + 1), F.lit(False))
-    is_list = F.col("value").rlike(r"^【检索结果|^\d+\. \[")
-    broken_list = is_list & (~F.col("last_line").rlike(HIT) | longer | ((F.col("hits") > 0) & (F.col("hits") < F.size("refs"))))
-    knowledge = F.col("field_name") == "retrieved_knowledge"
-    # the prompt's answer format
-    stops = F.lit(False)
-    for first, second, final in SECTIONS:
-        content = F.trim(F.regexp_extract("value", rf"(?s).*{final}\s*[:：]?\s*(.*)$", 1))
-        has = F.col("value").contains(first)
-        stops = stops | (has & F.col("value").contains(second) & ~F.col("value").contains(final)) | (has & F.col("value").contains(final) & (content == ""))
-        stops = stops | F.col("value").rlike(rf"^{first}\s*[:：]?\s*\S{{0,6}}$") | ((F.length("value") > 1) & F.lit(first).startswith(F.col("value")) & ~F.col("value").rlike("[。.]$"))
-    tail = _digits(F.substring("value", -TAIL, TAIL))
-    long = long.withColumn("sure_cut", F.col("mark") | F.when(knowledge, broken_list).otherwise(stops)).withColumn("tail", tail)
-    # values whose ending has to be weighed
-    open_ = durable(long.where("sure_cut OR NOT ended").select("result_id", "source", "prompt", "field_name", "stored", "value", "sure_cut", "tail"), "open")
-    doubtful = open_.where("NOT sure_cut")
-    tails = endings(long).join(doubtful.select("field_name", "tail").distinct(), ["field_name", "tail"], "left_semi")
-    weighed = doubtful.join(tails, ["field_name", "tail"], "left").join(shortened(long), "value", "left")
-    at_limit = [
-        limits.where(F.col("unit") == unit).select(F.col("source").alias("s"), F.col("field_name").alias("f"), F.col("length").alias(unit), F.lit(True).alias(f"limit_{unit}"))
-        for unit in ("chars", "bytes")
-    ]
-    for side, unit, size in ((at_limit[0], "chars", F.length("stored")), (at_limit[1], "bytes", F.octet_length("stored"))):
-        weighed = weighed.join(side, F.col("source").eqNullSafe(side.s) & (F.col("field_name") == side.f) & (size == side[unit]), "left").drop("s", "f", unit)
-    others = F.coalesce("seen", F.lit(1)) - 1  # without the value itself, which ends there
-    part = F.when(others > 0, (F.coalesce("ended", F.lit(1)) - 1) / others).otherwise(0.0)
-    backed = F.coalesce("limit_chars", F.lit(False)) | F.coalesce("limit_bytes", F.lit(False)) | F.coalesce("goes_on", F.lit(False))
-    weak = (F.length("value") >= TAIL) & ((part < 0.2) | (backed & (part < 0.8)))
-    cuts = weighed.where(weak).select("result_id", "field_name").unionByName(open_.where("sure_cut").select("result_id", "field_name")).distinct()
-    # a response that only repeats what was asked is another defect
-    answers = cuts.where("field_name = 'response'").join(rows.select("result_id", "clause", "prompt", "response"), "result_id")
-    copied = answers.mapInArrow(_copies, "result_id long, copied boolean").where("copied").select("result_id", F.lit("response").alias("field_name"))
-    cuts = cuts.join(copied, ["result_id", "field_name"], "left_anti").withColumn("is_cut", F.lit(True))
-    return values(rows).select("result_id", "source", "field_name").join(cuts, ["result_id", "field_name"], "left").withColumn("is_cut", F.coalesce("is_cut", F.lit(False)))
+    columns = rows.select("result_id", F.col("source").cast("string").alias("source"), *(F.col(c).cast("string").alias(c) for c in ("clause", "prompt", *FIELDS)))
+    facts = durable(columns.mapInArrow(_facts, _FACTS), "facts")
+    limits = length_hazards(facts).where("is_limit").select("source", "field_name", "unit", "length")
+    texts = durable(distinct_values(rows), "texts")
+    open_ = facts.where("NOT sealed")
+    counted = endings(texts).join(open_.select("tail").distinct(), "tail", "left_semi")
+    weighed = open_.join(counted, "tail", "left").join(shortened(texts).withColumn("goes_on", F.lit(True)), ["field_name", "key"], "left")
+    copies = open_.groupBy("field_name", "key").agg((F.count("*") - 1).alias("copies"))
+    weighed = weighed.join(copies, ["field_name", "key"])
+    # without the value itself, which ends there
+    share = lambda seen, ended: F.when(seen > 0, ended / seen).otherwise(0.0)
+    seen, ended = F.coalesce("seen", F.lit(1)) - 1, F.coalesce("ended", F.lit(1)) - 1
+    weighed = weighed.withColumn("ends_here", share(seen, ended)).withColumn("stock_here", share(seen + F.col("copies"), ended + F.col("copies")))
+    for unit in ("chars", "bytes"):
+        one = limits.where(F.col("unit") == unit).select(F.col("source").alias("s"), F.col("field_name").alias("f"), F.col("length").alias("l"), F.lit(True).alias(f"at_{unit}"))
+        weighed = weighed.join(one, F.col("source").eqNullSafe(one.s) & (F.col("field_name") == one.f) & (F.col(unit) == one.l), "left").drop("s", "f", "l")
+    weighed = weighed.withColumn("at_limit", F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False)))
+    names = ["result_id", "source", "field_name", "at_limit", "goes_on", "ends_here", "stock_here", "form", "copied"]
+    weighed = weighed.withColumn("goes_on", F.coalesce("goes_on", F.lit(False))).select(*names)
+    closed = facts.where("sealed").select("result_id", "source", "field_name", F.lit(False).alias("at_limit"), F.lit(False).alias("goes_on"), *(F.lit(None).cast("double").alias(c) for c in ("ends_here", "stock_here")), "form", "copied")
+    return weighed.unionByName(closed)
+
+
+def cut_values(rows: DataFrame, form: bool = True) -> DataFrame:
+    """``result_id, source, field_name, is_cut, by`` of all values that are not blank; ``by`` is the first evidence that
+    tells: ``limit``, ``neighbour``, ``ending``, ``form``. ``form=False`` leaves the last one out."""
+    by = F.when(F.col("at_limit") & (F.col("ends_here") < USUAL), "limit").when(F.col("goes_on") & (F.col("stock_here") < USUAL), "neighbour").when(F.col("stock_here") < RARE, "ending")
+    by = by.when(F.col("form"), "form") if form else by
+    found = weighed_values(rows).withColumn("by", F.when(~F.col("copied"), by))
+    return found.select("result_id", "source", "field_name", F.col("by").isNotNull().alias("is_cut"), "by")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,12 +346,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of cut values of each source and field."""
+    """Share of cut values of each source and field, and the evidence that told."""
     found = cut_values(table(spark, sf_dir, "result"))
-    return found.groupBy("source", "field_name").agg(F.count("*").alias("n_values"), F.sum(F.col("is_cut").cast("long")).alias("n_cut"), F.round(F.avg(F.col("is_cut").cast("double")), 6).alias("cut_share"))
+    counts = [F.count_if(F.col("by") == b).alias(f"by_{b}") for b in ("limit", "neighbour", "ending", "form")]
+    return found.groupBy("source", "field_name").agg(F.count("*").alias("n_values"), F.count_if("is_cut").alias("n_cut"), F.round(F.avg(F.col("is_cut").cast("double")), 6).alias("cut_share"), *counts)
 
 
 def p3_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The significant lengths of each source, field and unit."""
-    found = length_hazards(values(latest(table(spark, sf_dir, "result"))))
+    rows = latest(table(spark, sf_dir, "result")).select("result_id", F.col("source").cast("string").alias("source"), *(F.col(c).cast("string").alias(c) for c in ("clause", "prompt", *FIELDS)))
+    found = length_hazards(durable(rows.mapInArrow(_facts, _FACTS), "facts"))
     return found.where("is_limit").select("source", "field_name", "unit", "length", "n", F.round("hazard", 6).alias("hazard"), F.round("base", 6).alias("neighbour_hazard"))
