@@ -1,10 +1,12 @@
-"""Groups of equal keys, met pair by pair in blocks of bounded size, so that no group has to fit into one task."""
+"""Groups of equal keys, met in blocks of bounded size, so that no group has to fit into one task."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.runtime import parallelism
+
 BLOCK = 2048  # rows of a block, about; a task holds two
 
 
@@ -24,12 +26,43 @@ def block_pairs(df: DataFrame, key: str, rows_in_group: Column, identity: Column
     return met.drop("__n", "__own", "__other")
 
 
-def expand_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """``id_a, id_b`` (``id_a < id_b``) of the members of each pair ``class_a, class_b`` of different classes.
+def packed(members: DataFrame, keys: list[str], identity: str, n: str, block: int) -> DataFrame:
+    """The distinct members of each group as arrays of about ``block`` at most: ``__of`` arrays a group, numbered ``__slice``."""
+    of = F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(block))).cast("int")
+    cut = members.withColumn("__of", of).withColumn("__slice", F.pmod(F.xxhash64(identity, F.lit(7)), F.col("__of")).cast("int"))
+    return cut.groupBy(*keys, "__of", "__slice").agg(F.collect_set(identity).alias("__ids"))
+
+
+def _spelled(met: DataFrame) -> DataFrame:
+    """Arrays ``a`` and ``b`` to pairs; ``same``: both are one array. Narrow, so it runs where the arrays lie."""
+    one = met.select(F.explode("a").alias("x"), "b", "same")
+    two = one.select("x", F.explode("b").alias("y"), "same").where("NOT same AND x <> y OR x < y")
+    return two.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
+def pairs_within(members: DataFrame, keys: list[str], identity: str, n: str, block: int = BLOCK) -> DataFrame:
+    """``id_a, id_b`` (``id_a < id_b``) of each two members of a group, once; ``n`` is (at least) the group's size.
+
+    What is exchanged are arrays of members, and each pair of arrays of a hot group is a row of its own.
+    """
+    slices = packed(members, keys, identity, n, block)
+    alone = slices.where("__of = 1").select(F.col("__ids").alias("a"), F.col("__ids").alias("b"), F.lit(True).alias("same"))
+    many = slices.where("__of > 1")
+    one = many.select(*keys, "__slice", F.col("__ids").alias("a"), F.explode(F.sequence("__slice", F.col("__of") - 1)).alias("__other"))
+    met = one.join(many.select(*keys, F.col("__slice").alias("__other"), F.col("__ids").alias("b")), [*keys, "__other"])
+    met = met.repartition(parallelism(members.sparkSession), *keys, "__slice", "__other").select("a", "b", (F.col("__slice") == F.col("__other")).alias("same"))
+    return _spelled(alone.unionByName(met)).distinct()
+
+
+def expand_pairs(pairs: DataFrame, members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``id_a, id_b`` (``id_a < id_b``) of the members (``class, id, n``) of each pair ``class_a, class_b`` of different classes.
 
-    Both sides of the second join are spread by the first member, so one hot class does not meet in one task.
+    The joins carry arrays of members, so a hot class travels as a few rows, and each pair of arrays is spelled out on its
+    own.
     """
-    one = members.select(F.col("class").alias("class_a"), F.col("id").alias("__a"))
-    two = members.select(F.col("class").alias("class_b"), F.col("id").alias("__b"))
-    met = pairs.join(one, "class_a").join(two, "class_b").where("__a <> __b")
-    return met.select(F.least("__a", "__b").alias("id_a"), F.greatest("__a", "__b").alias("id_b")).distinct()
+    slices = packed(members, ["class"], "id", "n", block)
+    one = slices.select(F.col("class").alias("class_a"), F.col("__slice").alias("__s"), F.col("__ids").alias("a"))
+    two = slices.select(F.col("class").alias("class_b"), F.col("__slice").alias("__t"), F.col("__ids").alias("b"))
+    met = pairs.select("class_a", "class_b").join(one, "class_a").join(two, "class_b")
+    met = met.repartition(parallelism(pairs.sparkSession), "class_a", "__s", "class_b", "__t")
+    return _spelled(met.select("a", "b", F.lit(False).alias("same"))).distinct()

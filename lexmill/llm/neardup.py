@@ -1,19 +1,17 @@
 """Near-duplicate texts by signature trees, over a collection too large for pairwise comparison.
 
 A text is the set of its runs of four characters (skeleton without white space); two texts are alike if the Jaccard
-similarity of their sets reaches ``THRESHOLD``. Copies (equal skeletons) are one class from the start.
-
-The tree has two parts. Its upper levels route a class by minhash values: ``BANDS`` trees, each ``ROWS`` levels deep, of
-which a node is the set of classes with equal values so far. They are never held in one place: a node of the last upper
-level is a key of the exchange, and only keys and ids travel, packed into arrays. Nodes with one class end there. The
-lower levels are built inside a task, over the classes of one such node: leaves are token bitmaps with the size of the
-set, inner nodes hold the OR of their children's bitmaps and the range of their sizes. A dual traversal from (root, root)
-drops a pair of nodes when the size ranges exclude the similarity or when the overlap that the bitmaps still allow
-(common bits plus the tokens that share bits) is too small for it. What reaches the leaves is compared exactly, set
-against set. Large nodes are cut into blocks, met pair by pair.
-
-Only the routing is probabilistic: a pair of similarity s meets in some tree with probability 1 - (1 - s^5)^80, that is
-0.9985 at 0.6, 0.99995 at 0.65 and over 0.9999996 at 0.7; a pair that meets is never lost, and no false pair is given.
+similarity of their sets reaches ``THRESHOLD``. Copies (equal 128-bit hashes of the skeleton) are one class from the start.
+
+* Routing: minhash values send a class to ``BANDS`` trees by ``ROWS`` values each. This is the candidate step, and the only
+  probabilistic one: a pair of similarity s meets in some tree with probability 1 - (1 - s^ROWS)^BANDS. A tree over the
+  whole collection would compare nodes of size n^2 at its upper levels, since the bitmaps of unrelated texts are full.
+* Trees: the classes of one route are the leaves, in order of size, each with a bitmap of its tokens and the size of its
+  set; inner nodes hold the OR of their children's bitmaps and the range of their sizes. A dual traversal from (root,
+  root) drops a pair of nodes when the size ranges exclude the similarity or when the overlap that the bitmaps still allow
+  (common bits plus the tokens that share bits) is too small for it. All trees of a batch are built and walked at once.
+  Routes with many classes are cut into blocks, met pair by pair.
+* What reaches the leaves is compared exactly, set against set: no false pair is given.
 
 Defined cases: null texts and ids belong to no class; texts shorter than four characters are alike only to equal ones; an
 id that comes twice counts once; columns other than id and text are not read; empty tables give no rows.
@@ -26,12 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.blocks import block_pairs, expand_pairs
+from lexmill.llm.blocks import block_pairs, expand_pairs, pairs_within
 from lexmill.llm.skeleton import skeleton
-from lexmill.llm.spans import _blocks, _slices
+from lexmill.llm.spans import _slices
 from lexmill.runtime import durable, parallelism, spread, table
 
 THRESHOLD = 0.6
@@ -39,6 +37,7 @@ RUN = 4  # characters of a token
 BANDS, ROWS = 80, 5
 WORDS = 8  # 64-bit words of a bitmap
 FAN = 8  # children of an inner node
+PART_BYTES = 16_000_000  # routes held at once by a task, about
 _FULL = np.uint32(0xFFFFFFFF)
 
 
@@ -67,12 +66,17 @@ def _tokens(texts: list[str], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
     return _mix(h, 1), owner
 
 
-def _hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
+def _digest(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
+def _short(digests: list[bytes]) -> np.ndarray:
+    """The first 64 bits of digests: the handle of a class while candidates are searched."""
+    return np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
 
 
 def _signatures(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``id``, class, number of distinct runs and bitmap of each text."""
+    """``id``, digest and handle of the class, number of distinct runs and bitmap of each text."""
     for batch in _slices(stream):
         texts = [compact(t) for t in batch.column(1).to_pylist()]
         h, owner = _tokens(texts)
@@ -81,9 +85,10 @@ def _signatures(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros((len(texts), WORDS), np.uint64)
         spot = (h & np.uint64(64 * WORDS - 1)).astype(np.int64)
         np.bitwise_or.at(bits.reshape(-1), owner * WORDS + (spot >> 6), np.uint64(1) << (spot & 63).astype(np.uint64))
+        digests = [_digest(t) for t in texts]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([_hash(t) for t in texts], pa.int64()), pa.array(size.astype(np.int32)), *(pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in range(WORDS))],
-            ["id", "class", "size", *(f"w{k}" for k in range(WORDS))],
+            [batch.column(0), pa.array(digests, pa.binary()), pa.array(_short(digests)), pa.array(size.astype(np.int32)), *(pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in range(WORDS))],
+            ["id", "form", "class", "size", *(f"w{k}" for k in range(WORDS))],
         )
 
 
@@ -109,183 +114,227 @@ def _route(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def _router(parts: int):
+    """The routes of all texts, packed by part; equal texts of a batch go once."""
+
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(stream, 6_000_000):
             texts = list({compact(t) for t in batch.column(0).to_pylist()})
             texts = [t for t in texts if len(t) >= RUN]
             if not texts:
                 continue
-            ids = np.array([_hash(t) for t in texts], np.int64)
-            keys = _route(*_tokens(texts), len(texts))
+            ids = _short([_digest(t) for t in texts])
+            keys = _route(*_tokens(texts), len(texts)).reshape(-1)
             part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            rest = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             doc = np.repeat(np.arange(len(texts)), BANDS)
-            order = np.argsort(part.reshape(-1), kind="stable")
-            part, rest, doc = part.reshape(-1)[order], rest.reshape(-1)[order], doc[order]
+            order = np.argsort(part, kind="stable")
+            part, keys, doc = part[order], keys[order], doc[order]
             cut = np.flatnonzero(np.diff(part, prepend=-1))
             rows = []
             for a, b in zip(cut, np.append(cut[1:], len(part))):
                 some, many = np.unique(doc[a:b], return_counts=True)
-                rows.append((int(part[a]), rest[a:b].tobytes(), ids[some].tobytes(), many.astype(np.uint8).tobytes()))
+                rows.append((int(part[a]), keys[a:b].tobytes(), ids[some].tobytes(), many.astype(np.uint8).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["part", "keys", "ids", "many"])
 
     return run
 
 
+def _joined(pieces: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    """The routes of one part that at least two classes take: one row a class."""
+    keys = np.concatenate([np.frombuffer(k, np.uint64) for k, _, _ in pieces])
+    ids = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(m, np.uint8)) for _, i, m in pieces])
+    order = np.argsort(keys, kind="stable")
+    twin = keys[order][1:] == keys[order][:-1]
+    order = order[np.append(twin, False) | np.append(False, twin)]  # alone on its route: ends here
+    keys, ids = keys[order], ids[order]
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    fresh = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))[: len(keys)]
+    keys, ids = keys[fresh], ids[fresh]
+    _, which, count = np.unique(keys, return_inverse=True, return_counts=True)
+    count = count[which]
+    ok = count > 1
+    node, ids, count = keys[ok].view(np.int64), ids[ok], count[ok]
+    for at in range(0, len(node), 100_000):
+        to = slice(at, at + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(node[to]), pa.array(ids[to]), pa.array(count[to])], ["node", "class", "rows"])
+
+
 def _nodes(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The upper nodes with at least two classes: one row a class. Holds the parts of one task, whose size the number of parts sets."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    """Part after part of a stream sorted by part; one part is held at a time."""
+    held: list[tuple[bytes, bytes, bytes]] = []
+    now = None
     for batch in stream:
-        for part, keys, ids, many in zip(*(c.to_pylist() for c in batch.columns)):
-            held.setdefault(part, []).append((np.frombuffer(keys, np.uint32), np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(many, np.uint8))))
-    for part, pieces in held.items():
-        keys, ids = np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces])
-        order = np.argsort(keys, kind="stable")
-        twin = keys[order][1:] == keys[order][:-1]
-        order = order[np.append(twin, False) | np.append(False, twin)]  # alone in its node: ends here
-        keys, ids = keys[order], ids[order]
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        fresh = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))[: len(keys)]
-        keys, ids = keys[fresh], ids[fresh]
-        _, which, count = np.unique(keys, return_inverse=True, return_counts=True)
-        count = count[which]
-        ok = count > 1
-        node = np.int64(part) << 32 | keys[ok].astype(np.int64)
-        for at in range(0, len(node), 100_000):
-            to = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(node[to]), pa.array(ids[ok][to]), pa.array(count[ok][to])], ["node", "class", "rows"])
+        for part, *piece in zip(*(c.to_pylist() for c in batch.columns)):
+            if part != now and held:
+                yield from _joined(held)
+                held = []
+            now = part
+            held.append(tuple(piece))
+    if held:
+        yield from _joined(held)
 
 
 def _popcount(words: np.ndarray) -> np.ndarray:
     return np.bitwise_count(words).sum(-1, dtype=np.int64)
 
 
-class _Tree:
-    """Signature tree over the classes of one block, in order of size; level 0 holds the leaves."""
+class Forest:
+    """Signature trees over many groups of classes at once; level 0 holds the leaves, each group's in order of size.
 
-    def __init__(self, size: np.ndarray, bits: np.ndarray):
+    ``group``: numbers that do not fall, one tree each. All trees have one height; a small one ends in single children.
+    """
+
+    def __init__(self, group: np.ndarray, size: np.ndarray, bits: np.ndarray):
         slack = size - _popcount(bits)  # tokens that share a bit with others
         self.levels = [(size, size, slack, bits)]
-        while len(self.levels[-1][0]) > 1:
+        self.below: list[np.ndarray] = []  # of each level above the leaves: where the children of a node begin, and the end
+        while True:
+            start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            if len(start) == len(group) and self.below:
+                break
+            place = np.arange(len(group)) - np.repeat(start, np.diff(np.append(start, len(group))))
+            at = np.flatnonzero(place % FAN == 0)
             low, high, loose, have = self.levels[-1]
-            at = np.arange(0, len(low), FAN)
             self.levels.append((np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(loose, at), np.bitwise_or.reduceat(have, at, axis=0)))
+            self.below.append(np.append(at, len(group)))
+            group = group[at]
+
+    def possible(self, level: int, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
+        """Can any leaf below node i be alike to any below node j."""
+        low, high, loose, have = self.levels[level]
+        least = low[i] + low[j]
+        ok = (high[i] >= t * low[j] - 1e-9) & (high[j] >= t * low[i] - 1e-9)
+        near = np.flatnonzero(ok)
+        i, j = i[near], j[near]
+        overlap = np.minimum(np.minimum(high[i], high[j]), _popcount(have[i] & have[j]) + np.minimum(loose[i], loose[j]))
+        ok[near] = overlap * (1 + t) >= t * least[near] - 1e-9
+        return ok
+
+    def traverse(self, i: np.ndarray, j: np.ndarray, t: float, limit: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of leaves below the root pairs ``i, j`` that the bounds cannot tell apart, each once."""
+        waiting = [(len(self.levels) - 1, i, j)]
+        while waiting:
+            level, i, j = waiting.pop()
+            if level == 0:
+                keep = i != j
+                i, j = i[keep], j[keep]
+            ok = self.possible(level, i, j, t)
+            i, j = i[ok], j[ok]
+            if level == 0:
+                yield i, j
+                continue
+            edge = self.below[level - 1]
+            for at in range(0, len(i), limit // FAN):
+                a, b = i[at : at + limit // FAN], j[at : at + limit // FAN]
+                many = edge[b + 1] - edge[b]
+                total = (edge[a + 1] - edge[a]) * many
+                which = np.repeat(np.arange(len(a)), total)
+                place = np.arange(len(which)) - np.repeat(np.cumsum(total) - total, total)
+                x, y = edge[a][which] + place // many[which], edge[b][which] + place % many[which]
+                own = (a != b)[which] | (x <= y)
+                waiting.append((level - 1, x[own], y[own]))
+
+
+def _walker(t: float, rows: int = 32_768):
+    def walk(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = pa.Table.from_batches(held)
+        key, cls, size, side = (block.column(c).to_numpy() for c in ("block_key", "class", "size", "side"))
+        bits = np.stack([block.column(f"w{k}").to_numpy() for k in range(WORDS)], 1).view(np.uint64)
+        order = np.lexsort((size, side, key))
+        key, cls, size, side, bits = key[order], cls[order], size[order].astype(np.int64), side[order], bits[order]
+        tree = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (side[1:] != side[:-1])))
+        head = np.flatnonzero(np.append(True, tree[1:] != tree[:-1]))
+        forest = Forest(tree, size, bits)
+        # roots: a block's only tree with itself, the trees of its two sides with each other
+        own, kind = key[head], side[head]
+        twin = np.append(own[1:] == own[:-1], False)
+        i = np.flatnonzero((kind == 0))
+        j = np.where(twin[i], i + 1, i)
+        for a, b in forest.traverse(i, j, t):
+            a, b = cls[a], cls[b]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["class_a", "class_b"])
 
-    def node(self, level: int):
-        return self.levels[min(level, len(self.levels) - 1)]
-
-
-def _possible(one, i: np.ndarray, two, j: np.ndarray, t: float) -> np.ndarray:
-    """Can any leaf below node i be alike to any below node j."""
-    low = np.maximum(one[0][i], 0) + two[0][j]
-    overlap = np.minimum(np.minimum(one[1][i], two[1][j]), _popcount(one[3][i] & two[3][j]) + np.minimum(one[2][i], two[2][j]))
-    return (one[1][i] >= t * two[0][j] - 1e-9) & (two[1][j] >= t * one[0][i] - 1e-9) & (overlap * (1 + t) >= t * low - 1e-9)
-
-
-def dual_traversal(one: _Tree, two: _Tree, same: bool, t: float, limit: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of leaves that the bounds cannot tell apart; within one tree each pair once."""
-    top = max(len(one.levels), len(two.levels)) - 1
-    waiting = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-    while waiting:
-        level, i, j = waiting.pop()
-        if level == 0:
-            keep = (i < j) if same else np.ones(len(i), bool)
-            i, j = i[keep], j[keep]
-        ok = _possible(one.node(level), i, two.node(level), j, t)
-        i, j = i[ok], j[ok]
-        if not len(i):
-            continue
-        if level == 0:
-            yield i, j
-            continue
-        for at in range(0, len(i), limit // (FAN * FAN)):
-            a, b = i[at : at + limit // (FAN * FAN)], j[at : at + limit // (FAN * FAN)]
-            step = np.arange(FAN)
-            below_a = (a[:, None] * FAN + step) if level < len(one.levels) else np.where(step == 0, a[:, None], -1)
-            below_b = (b[:, None] * FAN + step) if level < len(two.levels) else np.where(step == 0, b[:, None], -1)
-            x = np.broadcast_to(below_a[:, :, None], (len(a), FAN, FAN)).reshape(-1)
-            y = np.broadcast_to(below_b[:, None, :], (len(a), FAN, FAN)).reshape(-1)
-            real = (x >= 0) & (y >= 0) & (x < len(one.node(level - 1)[0])) & (y < len(two.node(level - 1)[0]))
-            if same:
-                real &= x <= y
-            waiting.append((level - 1, x[real], y[real]))
-
-
-def _walker(t: float):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(stream):
-            cls, size, side = (block.column(c).to_numpy() for c in ("class", "size", "side"))
-            bits = np.stack([block.column(f"w{k}").to_numpy() for k in range(WORDS)], 1).view(np.uint64)
-            order = np.argsort(size, kind="stable")
-            cls, size, side, bits = cls[order], size[order].astype(np.int64), side[order], bits[order]
-            own, far = side == 0, side == 1
-            if not own.any():
+        """Whole blocks, about ``rows`` leaves at once; the stream is sorted by ``block_key``."""
+        held: list[pa.RecordBatch] = []
+        count = 0
+        for batch in stream:
+            if not batch.num_rows:
                 continue
-            first = _Tree(size[own], bits[own])
-            second = _Tree(size[far], bits[far]) if far.any() else first
-            a_cls, b_cls = cls[own], cls[far] if far.any() else cls[own]
-            for i, j in dual_traversal(first, second, not far.any(), t):
-                a, b = a_cls[i], b_cls[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["class_a", "class_b"])
+            key = batch.column("block_key").to_numpy()
+            if count >= rows:
+                last = held[-1].column("block_key")[-1].as_py()
+                at = int(np.argmax(key != last)) if (key != last).any() else len(key)
+                if at < len(key):
+                    yield from walk([*held, batch.slice(0, at)] if at else held)
+                    held, count, batch = [], 0, batch.slice(at)
+            held.append(batch)
+            count += batch.num_rows
+        if held:
+            yield from walk(held)
 
     return run
 
 
 def _checker(t: float):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[str, set[str]] = {}
-        for batch in stream:
-            keep = []
-            for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-                if len(sets) > 5000:
-                    sets.clear()
-                both = []
-                for text in (a, b):
-                    if text not in sets:
-                        form = compact(text)
-                        sets[text] = {form[k : k + RUN] for k in range(len(form) - RUN + 1)}
-                    both.append(sets[text])
-                common = len(both[0] & both[1])
-                keep.append(common > 0 and common >= t * (len(both[0]) + len(both[1]) - common) - 1e-9)
+        for batch in _slices(stream, 8_000_000):
+            both = [*batch.column("text_a").to_pylist(), *batch.column("text_b").to_pylist()]
+            at = {x: k for k, x in enumerate(dict.fromkeys(both))}
+            h, owner = _tokens([compact(x) for x in at])
+            order = np.lexsort((h, owner))
+            h, owner = h[order], owner[order]
+            fresh = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[: len(h)]
+            h, owner = h[fresh], owner[fresh]
+            size = np.bincount(owner, minlength=len(at))
+            start = np.cumsum(size) - size
+            which = np.array([at[x] for x in both], np.int64)
+            pair = np.tile(np.arange(len(both) // 2), 2)
+            n = size[which]
+            place = np.arange(n.sum()) + np.repeat(start[which] - (np.cumsum(n) - n), n)
+            # tokens that a pair has twice are common to both
+            mark, of = h[place], np.repeat(pair, n)
+            order = np.lexsort((mark, of))
+            mark, of = mark[order], of[order]
+            common = np.bincount(of[1:][(mark[1:] == mark[:-1]) & (of[1:] == of[:-1])], minlength=len(both) // 2)
+            a, b = n[: len(both) // 2], n[len(both) // 2 :]
+            keep = (common > 0) & (common >= t * (a + b - common) - 1e-9)
             yield batch.select(["class_a", "class_b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _rooms(a: str, b: str, t: float) -> Column:
-    """The leaf bound for a pair of signature rows, as a column."""
-    words = range(WORDS)
-    common = sum((F.bit_count(F.col(f"{a}.w{k}").bitwiseAND(F.col(f"{b}.w{k}"))) for k in words[1:]), F.bit_count(F.col(f"{a}.w0").bitwiseAND(F.col(f"{b}.w0"))))
-    slack = [F.col(f"{x}.size") - sum((F.bit_count(f"{x}.w{k}") for k in words[1:]), F.bit_count(f"{x}.w0")) for x in (a, b)]
-    overlap = F.least(F.col(f"{a}.size"), F.col(f"{b}.size"), common + F.least(*slack))
-    return overlap * (1 + t) >= t * (F.col(f"{a}.size") + F.col(f"{b}.size")) - 1e-9
+def candidate_pairs(signed: DataFrame, slim: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """The leaves of all trees in blocks, and the pairs of handles (``class_a, class_b``) that the trees leave over."""
+    rows = signed.count()
+    parts = max(parallelism(signed.sparkSession), -(-rows * BANDS * 16 // PART_BYTES))
+    packed = slim.select("text").mapInArrow(_router(parts), "part int, keys binary, ids binary, many binary").repartition(min(parts, parallelism(signed.sparkSession, 8)), "part").sortWithinPartitions("part")
+    nodes = durable(packed.mapInArrow(_nodes, "node long, class long, rows long"), "nodes")
+    leaves = signed.drop("id", "form").dropDuplicates(["class"])
+    blocks = block_pairs(nodes.join(leaves, "class"), "node", F.col("rows"), F.col("class"))
+    blocks = blocks.repartition(parallelism(signed.sparkSession), "block_key").sortWithinPartitions("block_key")
+    return blocks, blocks.mapInArrow(_walker(threshold), "class_a long, class_b long").distinct()
 
 
 def similar_classes(rows: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Members (``class, id``) and the pairs of different classes (``class_a, class_b``) that are alike."""
-    spark = rows.sparkSession
+    """Members (``class, id, n``: a class is named by its smallest id, ``n`` is its size) and the pairs of different classes
+    (``class_a, class_b``) that are alike."""
     slim = rows.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     slim = spread(slim)
     words = ", ".join(f"w{k} long" for k in range(WORDS))
-    signed = durable(slim.mapInArrow(_signatures, f"id long, class long, size int, {words}"), "signatures")
-    parts = parallelism(spark)
-    packed = slim.select("text").mapInArrow(_router(parts), "part int, keys binary, ids binary, many binary").repartition(parts, "part")
-    nodes = durable(packed.mapInArrow(_nodes, "node long, class long, rows long"), "nodes")
-    leaves = signed.dropDuplicates(["class"]).drop("id")
-    # two classes: the traversal is one comparison of leaves, made here on columns
-    two = nodes.where("rows = 2").groupBy("node").agg(F.min("class").alias("class_a"), F.max("class").alias("class_b")).select("class_a", "class_b").distinct()
-    two = two.join(leaves.alias("a").withColumnRenamed("class", "class_a"), "class_a").join(leaves.alias("b").withColumnRenamed("class", "class_b"), "class_b").where(_rooms("a", "b", threshold)).select("class_a", "class_b")
-    more = nodes.where("rows > 2").join(leaves, "class")
-    more = block_pairs(more, "node", F.col("rows"), F.col("class")).repartition("block_key").sortWithinPartitions("block_key")
-    more = more.mapInArrow(_walker(threshold), "class_a long, class_b long")
-    candidates = durable(two.unionByName(more).distinct(), "candidates")
-    wanted = candidates.select(F.col("class_a").alias("class")).unionByName(candidates.select(F.col("class_b").alias("class"))).distinct()
-    heads = signed.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id"))
-    texts = slim.join(heads, "id").groupBy("class").agg(F.min("text").alias("text"))
-    both = candidates.join(texts.select(F.col("class").alias("class_a"), F.col("text").alias("text_a")), "class_a").join(texts.select(F.col("class").alias("class_b"), F.col("text").alias("text_b")), "class_b")
-    alike = durable(both.mapInArrow(_checker(threshold), "class_a long, class_b long"), "alike")
-    return signed.select("class", "id").distinct(), alike
+    signed = durable(slim.mapInArrow(_signatures, f"id long, form binary, class long, size int, {words}"), "signatures")
+    single = signed.groupBy("id").agg(F.min(F.struct("form", F.col("class").alias("handle"))).alias("s")).select("id", "s.form", "s.handle")
+    heads = durable(single.groupBy("form").agg(F.min("id").alias("class"), F.min("handle").alias("handle"), F.count("*").alias("n")), "classes")
+    members = single.join(heads.select("form", "class", "n"), "form").select("class", "id", "n")
+    candidates = durable(candidate_pairs(signed, slim, threshold)[1], "candidates")
+    wanted = candidates.select(F.col("class_a").alias("handle")).unionByName(candidates.select(F.col("class_b").alias("handle"))).distinct()
+    chosen = heads.join(wanted, "handle", "left_semi").select("handle", "class")
+    texts = slim.join(chosen, slim["id"] == chosen["class"]).groupBy("handle", "class").agg(F.min("text").alias("text"))
+    both = candidates.withColumnsRenamed({"class_a": "handle_a", "class_b": "handle_b"})
+    for side in ("a", "b"):
+        both = both.join(texts.select(F.col("handle").alias(f"handle_{side}"), F.col("class").alias(f"class_{side}"), F.col("text").alias(f"text_{side}")), f"handle_{side}")
+    alike = durable(both.select("class_a", "class_b", "text_a", "text_b").mapInArrow(_checker(threshold), "class_a long, class_b long"), "alike")
+    return members, alike
 
 
 def alike_pairs(rows: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -293,10 +342,7 @@ def alike_pairs(rows: DataFrame, key: str, text: str, threshold: float = THRESHO
     members, alike = similar_classes(rows, key, text, threshold)
     linked = alike.select(F.col("class_a").alias("class")).unionByName(alike.select(F.col("class_b").alias("class"))).distinct()
     across = expand_pairs(alike, members.join(linked, "class", "left_semi"))
-    repeated = members.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
-    copies = members.join(repeated, "class", "left_semi")
-    within = copies.select("class", F.col("id").alias("id_a")).join(copies.select("class", F.col("id").alias("id_b")), "class").where("id_a < id_b").select("id_a", "id_b")
-    return across.unionByName(within)
+    return across.unionByName(pairs_within(members.where("n > 1"), ["class"], "id", "n"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -326,6 +372,7 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk with its group (the smallest chunk id in it), the group's size in chunks and the links of its text."""
     members, alike = similar_classes(table(spark, sf_dir, "chunks"), "chunk_id", "text")
     joined = components(alike)
+    members = members.select("class", "id")
     links = alike.select(F.col("class_a").alias("class")).unionByName(alike.select(F.col("class_b").alias("class"))).groupBy("class").agg(F.count("*").alias("links"))
     classes = members.groupBy("class").agg(F.min("id").alias("first"), F.count("*").alias("copies")).join(joined, "class", "left").withColumn("group", F.coalesce("group", "class")).join(links, "class", "left")
     whole = classes.groupBy("group").agg(F.min("first").alias("group_id"), F.sum("copies").alias("chunks_in_group"))

@@ -24,14 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.neardup import compact
-from lexmill.llm.truncation import SECTIONS, cut_values, latest, repeats
+from lexmill.llm.truncation import PLACEHOLDERS, SECTIONS, cut_values, latest, repeats
 from lexmill.runtime import durable, table
 
-# What stands for an empty answer.
-PLACEHOLDERS = {
-    "", "-", "--", "/", ".", "...", "…", "……", "无", "空", "略", "暂无", "(空)", "[空]", "(无)", "待补充", "未填写", "none", "null", "nil", "nan", "n/a", "na", "undefined", "empty", "tbd", "todo", "[]", "{}", "()", '""', "''", "“”", "\\n",
-}
-
 # Words that decline.
 DECLINES = re.compile(
     r"抱歉|对不起|无法|不能|不便|不宜|没有权限|无权|超出|恕难|恕不|不予|跳过|不在服务|不允许|选择不|不作判断|不作评价|不发表|执业资格|并不具备|拦截|拒绝|不回答|敏感信息|"

@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_mixture": mixture.p7_mixture,
     "p7_shares": mixture.p7_shares,
     "p8_found": spans.p8_found,
+    "p8_groups": spans.p8_groups,
     "p8_spans": spans.p8_spans,
     "p8_shared": spans.p8_shared,
 }

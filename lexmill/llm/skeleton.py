@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.blocks import expand_pairs
+from lexmill.llm.blocks import expand_pairs, pairs_within
 from lexmill.runtime import durable, table
 
 # Letters of other scripts and signs that are drawn as the second sign of the pair.
@@ -104,15 +104,16 @@ def same_look_pairs(rows: DataFrame, key: str, text: str) -> DataFrame:
     """``id_a, id_b``: each two rows whose texts have one skeleton but are stored as different characters, once.
 
     Only groups of one skeleton with at least two stored forms go into the pairing, so copies stored alike, however many,
-    cost one partial aggregate; the forms are paired first, then each pair of forms is expanded to its rows.
+    cost one partial aggregate; the forms are paired first, then each pair of forms is expanded to its rows. Both steps
+    work on arrays of bounded size, so neither a skeleton with many forms nor a form with many rows meets in one task.
     """
     slim = rows.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     marks = durable(slim.mapInArrow(_marks, "id long, form binary, stored binary"), "forms")
-    mixed = marks.groupBy("form").agg(F.min("stored").alias("a"), F.max("stored").alias("b"), F.count("*").alias("rows")).where("a <> b").select("form", "rows")
-    classes = marks.select("form", "stored").distinct().join(mixed.select("form"), "form")
-    one, two = classes.select("form", F.col("stored").alias("class_a")), classes.select("form", F.col("stored").alias("class_b"))
-    pairs = one.join(two, "form").where("class_a < class_b").select("class_a", "class_b")
-    members = marks.join(mixed.select("form"), "form", "left_semi").select(F.col("stored").alias("class"), "id").distinct()
+    classes = marks.groupBy("form", "stored").agg(F.count("*").alias("rows"))
+    mixed = classes.groupBy("form").agg(F.count("*").alias("forms")).where("forms > 1")
+    classes = durable(classes.join(mixed, "form"), "classes")
+    pairs = pairs_within(classes, ["form"], "stored", "forms").select(F.col("id_a").alias("class_a"), F.col("id_b").alias("class_b"))
+    members = marks.join(classes.select("form", "stored", F.col("rows").alias("n")), ["form", "stored"]).select(F.col("stored").alias("class"), "id", "n")
     return expand_pairs(pairs, members)
 
 

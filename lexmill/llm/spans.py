@@ -1,11 +1,13 @@
-"""Long exact spans shared between documents, by relative Lempel-Ziv parsing against sampled reference blocks.
+"""Long exact spans shared between documents, by relative Lempel-Ziv parsing against indexed reference blocks.
 
-Phrase starts are sampled by content: of every window of phrase hashes the smallest is kept (a long shared passage
-therefore has a phrase start in common, at the same place in both documents). The text around a phrase start that
-several documents have is a reference block; the documents of a block are factored against each other: from the phrase
-start the factor is extended greedily to the right, then checked at its boundary and extended to the left. Factors of at
-least ``MIN_SPAN`` characters are shared spans. Only blocks that two documents have in common get their text, and of a
-text only the ``MIN_SPAN`` characters around it that decide, so the exchange is small.
+Factor boundaries are set by content: of every window of phrase hashes the smallest is kept, so a long shared passage has
+a phrase start in common, at the same place in both documents. All text around one phrase that several documents have is
+a reference block. Its index holds, for each start before the phrase, the ``MIN_SPAN`` characters from there. A document
+is factored greedily against every block it meets: from the leftmost start that another document of the block has, as far
+as the index goes on with the next characters; at the boundary the factor is checked and joined with the one before.
+Factors of at least ``MIN_SPAN`` characters are shared spans. Texts are never compared two by two: index entries are
+grouped, so a passage in n documents costs n entries, and the documents of an entry are a group; ``p8_found`` alone
+spells groups out as pairs.
 
 Completeness: with phrases of ``PHRASE`` characters and windows of ``MIN_SPAN - PHRASE + 1`` phrases, any common passage of
 ``MIN_SPAN`` characters contains a whole window and so a common phrase start. Starts are left out only within text that is
@@ -14,6 +16,7 @@ kept: a passage inside the run stands at the second start as well, which then is
 goes beyond an end of the run contains the start at that end. Repeats with differing text between them are all kept.
 A run counts as shared throughout only if a factor of ``MIN_SPAN`` characters lies within its periodic text: then the same
 characters stand there again at every further period, and the factors of its first and last starts give the exact ends.
+Entries are equal if phrase hash, start and hash of the characters are, 128 bits in all.
 
 Defined cases: null and short texts share nothing; a passage repeated within one document alone is not shared; an id that
 comes twice counts once; empty tables give no rows; columns other than the id and the text are not read.
@@ -28,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.blocks import block_pairs
-from lexmill.runtime import durable, spread, table
+from lexmill.llm.blocks import pairs_within
+from lexmill.runtime import durable, parallelism, spread, table
 
 MIN_SPAN = 120
 PHRASE = 32  # a power of two
@@ -134,23 +137,21 @@ def _sampler(span: int, phrase: int):
             at, mark, reach = phrase_starts(_codes(texts), lens, span, phrase)
             ends = np.cumsum(lens)
             text = np.searchsorted(ends, at, side="right")
-            gap = np.diff(at, prepend=-1)
-            gap[np.flatnonzero(np.diff(text, prepend=-1))] = 0  # the first of a text has none before it
             place = at - (ends - lens)[text]
             ids = batch.column(0).take(pa.array(text))
-            yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)), ids, pa.array(place.astype(np.int32)), pa.array(np.minimum(gap, 2**31 - 1).astype(np.int32)), *(pa.array(r.astype(np.int32)) for r in reach.T)], ["mark", "doc", "place", "gap", *_RUN])
+            yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)), ids, pa.array(place.astype(np.int32)), *(pa.array(r.astype(np.int32)) for r in reach.T)], ["mark", "doc", "place", *_RUN])
 
     return run
 
 
 _RUN = ["reach", "run_left", "run_right"]
-_CUT = f"mark long, rows long, doc long, place int, gap int, {' int, '.join(_RUN)} int, before string, after string"
+_CUT = f"mark long, rows long, doc long, place int, {' int, '.join(_RUN)} int, before string, after string"
 
 
 def _cutter(span: int, phrase: int):
     side = span - phrase
     names = [c.split()[0] for c in _CUT.split(", ")]
-    kinds = [pa.int64()] * 3 + [pa.int32()] * 5 + [pa.string()] * 2
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.string()] * 2
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(stream):
@@ -158,129 +159,223 @@ def _cutter(span: int, phrase: int):
             for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "wanted"))):
                 for w in wanted:
                     p = w["place"]
-                    rows.append((w["mark"], w["rows"], doc, p, w["gap"], *(w[c] for c in _RUN), text[max(0, p - side) : p], text[p : p + span]))
+                    rows.append((w["mark"], w["rows"], doc, p, *(w[c] for c in _RUN), text[max(0, p - side) : p], text[p : p + span]))
             columns = list(zip(*rows)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
     return run
 
 
-def _grid(texts: list[str], width: int, from_right: bool, filler: int) -> np.ndarray:
-    """Code points as rows of fixed width; beyond a text's end stands a number that no other row has."""
-    lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    grid = np.repeat((np.arange(len(texts), dtype=np.uint32) + np.uint32(filler))[:, None], width, 1)
-    cp = _codes(texts)
-    row = np.repeat(np.arange(len(texts)), lens)
-    col = np.arange(len(cp)) - np.repeat(np.cumsum(lens) - lens, lens)
-    if from_right:
-        col = np.repeat(lens, lens) - 1 - col
-    grid[row, col] = cp
-    return grid
-
-
-def _factors(before: list[str], after: list[str], side: np.ndarray, span: int, phrase: int, limit: int = 200_000) -> Iterator[tuple[np.ndarray, ...]]:
-    """Row pairs of one block with the lengths of their common factor left and right of the phrase start."""
-    reach = span - phrase
-    left = _grid(before, reach, True, 0x200000)
-    right = _grid(after, span, False, 0x200000)
-    n = len(before)
-    other = np.flatnonzero(side == 1)
-    mine = np.flatnonzero(side == 0)
-    for k, i in enumerate(mine):
-        to = other if len(other) else mine[k + 1 :]
-        for at in range(0, len(to), limit):
-            j = to[at : at + limit]
-            if not len(j):
-                continue
-            r = (right[j] != right[i])
-            r_len = np.where(r.any(1), r.argmax(1), span)
-            near = np.flatnonzero(r_len >= phrase)  # less: only the hashes agree
-            if not len(near):
-                continue
-            j, r_len = j[near], r_len[near]
-            l = (left[j] != left[i])
-            l_len = np.where(l.any(1), l.argmax(1), reach)
-            good = l_len + r_len >= span
-            if good.any():
-                yield np.full(int(good.sum()), i), j[good], l_len[good], r_len[good]
-
-
-def _blocks(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of one ``block_key`` after the other; the stream is sorted by it."""
+# --- the index of a reference block --------------------------------------------------------------------------------------
+
+
+def _mixed(values: np.ndarray, seed: int) -> np.ndarray:
+    h = (values ^ np.uint64(seed)) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    return h ^ h >> np.uint64(29)
+
+
+def _index(mark: np.ndarray, before: list[str], after: list[str], span: int, phrase: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(left, rows, keys)`` for every possible factor start, from the leftmost: the rows whose text holds ``span``
+    characters from ``left`` characters before the phrase, and a key that those with equal characters have in common."""
+    side = span - phrase
+    n_before, n_after = (np.fromiter(map(len, t), np.int64, len(t)) for t in (before, after))
+    grid = np.zeros((side + span, len(mark)), np.uint64)
+    for texts, lens, start in ((before, n_before, side - n_before), (after, n_after, np.full(len(mark), side))):
+        row = np.repeat(np.arange(len(texts)), lens)
+        col = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens) + start[row]
+        grid[col, row] = (_codes(texts).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    grid ^= grid >> np.uint64(32)
+    base = 0xBF58476D1CE4E5B9
+    total = np.zeros((side + span + 1, len(mark)), np.uint64)
+    for k in range(side + span):
+        total[k + 1] = total[k] * np.uint64(base) + grid[k]
+    far = np.uint64(pow(base, span, 1 << 64))
+    own = mark.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for at in range(side + 1):
+        rows = np.flatnonzero((at >= side - n_before) & (at + span <= side + n_after))
+        if len(rows):
+            yield side - at, rows, _mixed(total[at + span, rows] - total[at, rows] * far ^ own[rows], side - at + 1)
+
+
+def _groups(doc: np.ndarray, rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows (in order of document) put together by key, where each group starts, and which rows bring a new document."""
+    order = np.argsort(keys, kind="stable")
+    rows, keys = rows[order], keys[order]
+    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    fresh = np.append(True, doc[rows][1:] != doc[rows][:-1])
+    fresh[start] = True
+    return rows, start, fresh
+
+
+def _whole_blocks(stream: Iterator[pa.RecordBatch], rows: int = 16_384) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows that hold whole reference blocks; the stream is sorted by ``mark``."""
     held: list[pa.RecordBatch] = []
+    count = 0
     for batch in stream:
         if not batch.num_rows:
             continue
-        key = batch.column("block_key").to_numpy(zero_copy_only=False)
-        cut = np.flatnonzero(key[1:] != key[:-1]) + 1
-        edges = [0, *cut.tolist(), batch.num_rows]
-        for a, b in zip(edges[:-1], edges[1:]):
-            if held and held[-1].column("block_key")[0].as_py() != key[a].item():
+        mark = batch.column("mark").to_numpy()
+        cuts = np.append(0, np.flatnonzero(mark[1:] != mark[:-1]) + 1)
+        if held and held[-1].column("mark")[-1].as_py() == int(mark[0]):
+            cuts = cuts[1:]
+        at = 0
+        for cut in cuts.tolist():
+            if count + cut - at >= rows and (held or cut > at):
+                if cut > at:
+                    held.append(batch.slice(at, cut - at))
                 yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
+                held, count, at = [], 0, cut
+        held.append(batch.slice(at))
+        count += batch.num_rows - at
     if held:
         yield pa.Table.from_batches(held)
 
 
-def _pairer(span: int, phrase: int):
+def _read(block: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The block in order of document."""
+    block = block.take(pa.array(np.argsort(block.column("doc").to_numpy(), kind="stable")))
+    return block, block.column("mark").to_numpy(), block.column("doc").to_numpy()
+
+
+def _parser(span: int, phrase: int):
+    """Factors of each context against the block it stands in: from the leftmost start that another document has, as long
+    as it goes on there."""
+
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(stream):
-            doc, gap = block.column("doc").to_numpy(), block.column("gap").to_numpy()
-            for i, j, l_len, _ in _factors(block.column("before").to_pylist(), block.column("after").to_pylist(), block.column("side").to_numpy(), span, phrase):
-                # the factor has an earlier phrase start in both: that one tells of the pair
-                told = (gap[i] == gap[j]) & (gap[i] > 0) & (gap[i] <= l_len)
-                a, b = doc[i[~told]], doc[j[~told]]
-                a, b = np.minimum(a, b), np.maximum(a, b)
-                ok = a != b
-                if ok.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["doc_a", "doc_b"])
+        for block in _whole_blocks(stream):
+            block, mark, doc = _read(block)
+            place, reach, run_left, run_right = (block.column(c).to_numpy() for c in ("place", *_RUN))
+            first, last, whole = np.full(len(doc), -1), np.full(len(doc), -1), np.zeros(len(doc), bool)
+            for left, rows, keys in _index(mark, block.column("before").to_pylist(), block.column("after").to_pylist(), span, phrase):
+                rows, start, fresh = _groups(doc, rows, keys)
+                many = np.add.reduceat(fresh, start, dtype=np.int64) > 1
+                hit = rows[np.repeat(many, np.diff(np.append(start, len(rows))))]
+                first[hit] = np.where(first[hit] < 0, left, first[hit])
+                last[hit] = left
+                # a span shared inside a run stands in it at every further period: shared as far as the last ones tell
+                whole[hit[(reach[hit] > 0) & (run_left[hit] >= left) & (run_right[hit] >= span - left)]] = True
+            hit = np.flatnonzero(first >= 0)
+            if len(hit):
+                end = np.where(whole[hit], np.maximum(span - last[hit], reach[hit]), span - last[hit])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array((place[hit] - first[hit]).astype(np.int32)), pa.array((place[hit] + end).astype(np.int32))], ["doc", "a", "b"])
 
     return run
 
 
-def _coverer(span: int, phrase: int):
+_MEMBERS = "g1 long, g2 long, n long, doc long"
+
+
+def _grouper(span: int, phrase: int):
+    """Documents with one factor in common: each set of documents once a batch, named by two sums over its members."""
+
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(stream):
-            doc, place, reach, run_left, run_right = (block.column(c).to_numpy() for c in ("doc", "place", *_RUN))
-            l_best, r_best = np.full(len(doc), -1), np.full(len(doc), -1)
-            whole = np.zeros(len(doc), bool)
-            for i, j, l_len, r_len in _factors(block.column("before").to_pylist(), block.column("after").to_pylist(), block.column("side").to_numpy(), span, phrase):
-                ok = doc[i] != doc[j]
-                for x in (i[ok], j[ok]):
-                    np.maximum.at(l_best, x, l_len[ok])
-                    np.maximum.at(r_best, x, r_len[ok])
-                    # a span shared inside a run stands in it at every further period: shared as far as the last ones tell
-                    whole[x[(reach[x] > 0) & (np.minimum(l_len[ok], run_left[x]) + np.minimum(r_len[ok], run_right[x]) >= span)]] = True
-            r_best = np.where(whole, np.maximum(r_best, reach), r_best)
-            hit = np.flatnonzero(r_best >= 0)
-            if len(hit):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array((place - l_best)[hit].astype(np.int32)), pa.array((place + r_best)[hit].astype(np.int32))], ["doc", "a", "b"])
+        for block in _whole_blocks(stream):
+            block, mark, doc = _read(block)
+            one, two = _mixed(doc.view(np.uint64), 0x51ED27), _mixed(doc.view(np.uint64), 0x2545F491)
+            known = np.zeros(0, np.uint64)
+            for _, rows, keys in _index(mark, block.column("before").to_pylist(), block.column("after").to_pylist(), span, phrase):
+                rows, start, fresh = _groups(doc, rows, keys)
+                rows = rows[fresh]  # each document of a group once
+                group = (np.cumsum(np.bincount(start, minlength=len(fresh))) - 1)[fresh]
+                size = np.bincount(group)
+                edge = np.append(0, np.cumsum(size)[:-1])
+                g1, g2 = np.add.reduceat(one[rows], edge), np.add.reduceat(two[rows], edge)
+                name = g1 * np.uint64(0x9E3779B97F4A7C15) + g2
+                _, head = np.unique(name, return_index=True)
+                take = np.zeros(len(name), bool)
+                take[head] = True
+                take &= (size > 1) & ~np.isin(name, known)
+                if not take.any():
+                    continue
+                known = np.append(known, name[take])
+                kept = take[group]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g1[group[kept]].view(np.int64), g2[group[kept]].view(np.int64), size[group[kept]], doc[rows[kept]])], ["g1", "g2", "n", "doc"])
 
     return run
 
 
-def reference_blocks(documents: DataFrame, key: str = "doc_id", text: str = "text", span: int = MIN_SPAN, phrase: int = PHRASE) -> DataFrame:
-    """The text around every phrase start that at least two documents have, in blocks for the factoring."""
-    docs = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).where(f"doc IS NOT NULL AND length(text) >= {span}")
-    docs = spread(docs)
-    starts = durable(docs.mapInArrow(_sampler(span, phrase), f"mark long, doc long, place int, gap int, {' int, '.join(_RUN)} int"), "phrases")
-    common = starts.groupBy("mark").agg(F.count("*").alias("rows"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("mark", "rows")
-    wanted = starts.join(common, "mark").groupBy("doc").agg(F.collect_set(F.struct("mark", "rows", "place", "gap", *_RUN)).alias("wanted"))
-    cut = docs.join(wanted, "doc").mapInArrow(_cutter(span, phrase), _CUT)
-    return block_pairs(cut, "mark", F.col("rows"), F.struct("doc", "place"), 1024).repartition("block_key").sortWithinPartitions("block_key")
+def _spreader(span: int, phrase: int):
+    """The index entries of contexts as rows, for blocks too large for one task."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(stream):
+            mark = batch.column("mark").to_numpy()
+            for left, rows, keys in _index(mark, batch.column("before").to_pylist(), batch.column("after").to_pylist(), span, phrase):
+                some = batch.select(["mark", "c", "d", "lo", "hi", "f1", "f2"]).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(rows), left, np.int32)), *some.columns], ["key", "left", *some.schema.names])
+
+    return run
 
 
-def shared_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text", span: int = MIN_SPAN, phrase: int = PHRASE) -> DataFrame:
+class ReferenceBlocks:
+    """The text around every phrase start that at least two documents have, by phrase.
+
+    A block of up to ``block`` contexts is indexed inside one task. The contexts of a larger one are put together where
+    they are equal, and their index entries go through the exchange as rows, so no block has to fit into a task.
+    """
+
+    def __init__(self, documents: DataFrame, key: str = "doc_id", text: str = "text", span: int = MIN_SPAN, phrase: int = PHRASE, block: int = 50_000):
+        self.span, self.phrase = span, phrase
+        docs = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).where(f"doc IS NOT NULL AND length(text) >= {span}")
+        docs = spread(docs)
+        starts = durable(docs.mapInArrow(_sampler(span, phrase), f"mark long, doc long, place int, {' int, '.join(_RUN)} int"), "phrases")
+        common = starts.groupBy("mark").agg(F.count("*").alias("rows"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("mark", "rows")
+        wanted = starts.join(common, "mark").groupBy("doc").agg(F.collect_set(F.struct("mark", "rows", "place", *_RUN)).alias("wanted"))
+        cut = durable(docs.join(wanted, "doc").mapInArrow(_cutter(span, phrase), _CUT), "contexts")
+        parts = parallelism(docs.sparkSession)
+        self.small = cut.where(F.col("rows") <= block).repartition(parts, "mark").sortWithinPartitions("mark")
+        self.large = cut.where(F.col("rows") > block).withColumn("c", F.xxhash64("before", F.lit(1), "after")).withColumn("d", F.xxhash64("after", F.lit(2), "before"))
+
+    def _entries(self) -> tuple[DataFrame, DataFrame]:
+        """Index entries of the large blocks, and the shared ones with the name of their set of documents."""
+        name = lambda seed: F.pmod(F.sum(F.xxhash64("doc", F.lit(seed)).cast("decimal(38,0)")), F.lit(str(2**63)).cast("decimal(20,0)")).cast("long")
+        contexts = self.large.groupBy("mark", "c", "d").agg(F.first("before").alias("before"), F.first("after").alias("after"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), name(1).alias("f1"), name(2).alias("f2"))
+        entries = durable(contexts.mapInArrow(_spreader(self.span, self.phrase), "key long, left int, mark long, c long, d long, lo long, hi long, f1 long, f2 long"), "entries")
+        total = lambda c: F.pmod(F.sum(F.col(c).cast("decimal(38,0)")), F.lit(str(2**63)).cast("decimal(20,0)")).cast("long").alias(c)
+        return entries, entries.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), total("f1"), total("f2")).where("lo < hi").select("key", "f1", "f2")
+
+    def factors(self) -> DataFrame:
+        """``doc, a, b``: the part around each phrase start that other documents have too."""
+        found = self.small.mapInArrow(_parser(self.span, self.phrase), "doc long, a int, b int")
+        entries, shared = self._entries()
+        hits = entries.join(shared.select("key"), "key").groupBy("mark", "c", "d").agg(F.collect_set("left").alias("lefts"))
+        sites = self.large.drop("before", "after", "rows").join(hits, ["mark", "c", "d"])
+        whole = (F.col("reach") > 0) & F.exists("lefts", lambda x: (F.col("run_left") >= x) & (F.col("run_right") >= self.span - x))
+        end = self.span - F.array_min("lefts")
+        end = F.when(whole, F.greatest(end, "reach")).otherwise(end)
+        return found.unionByName(sites.select("doc", (F.col("place") - F.array_max("lefts")).cast("int").alias("a"), (F.col("place") + end).cast("int").alias("b")))
+
+    def members(self) -> DataFrame:
+        """``g1, g2, n, doc``: the sets of documents that have a factor in common, one row a member."""
+        found = self.small.mapInArrow(_grouper(self.span, self.phrase), _MEMBERS)
+        entries, shared = self._entries()
+        heads = shared.groupBy("f1", "f2").agg(F.min("key").alias("key"))
+        sites = self.large.select("mark", "c", "d", "doc").distinct()
+        large = entries.join(heads.select("key", F.col("f1").alias("g1"), F.col("f2").alias("g2")), "key").join(sites, ["mark", "c", "d"]).select("g1", "g2", "doc").distinct()
+        sizes = large.groupBy("g1", "g2").agg(F.count("*").alias("n"))
+        return found.unionByName(large.join(sizes, ["g1", "g2"]).select("g1", "g2", "n", "doc"))
+
+
+def shared_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text", span: int = MIN_SPAN, phrase: int = PHRASE, block: int = 50_000) -> DataFrame:
     """``doc_a, doc_b``: each two documents that have a common passage of at least ``span`` characters, once."""
-    blocks = reference_blocks(documents, key, text, span, phrase)
-    return blocks.mapInArrow(_pairer(span, phrase), "doc_a long, doc_b long").distinct()
+    members = ReferenceBlocks(documents, key, text, span, phrase, block).members()
+    return pairs_within(members, ["g1", "g2"], "doc", "n").select(F.col("id_a").alias("doc_a"), F.col("id_b").alias("doc_b"))
+
+
+def shared_groups(documents: DataFrame, key: str = "doc_id", text: str = "text", span: int = MIN_SPAN, phrase: int = PHRASE, block: int = 50_000) -> DataFrame:
+    """``group_id, docs, doc_id``: the sets of documents that have a passage in common, one row a member, without pairs.
 
+    Two documents share a passage exactly if they are members of one group.
+    """
+    members = ReferenceBlocks(documents, key, text, span, phrase, block).members()
+    return members.select(F.concat_ws("-", F.hex("g1"), F.hex("g2")).alias("group_id"), F.col("n").alias("docs"), F.col("doc").alias("doc_id")).distinct()
 
-def shared_parts(documents: DataFrame, key: str = "doc_id", text: str = "text", span: int = MIN_SPAN, phrase: int = PHRASE) -> DataFrame:
+
+def shared_parts(documents: DataFrame, key: str = "doc_id", text: str = "text", span: int = MIN_SPAN, phrase: int = PHRASE, block: int = 50_000) -> DataFrame:
     """``doc_id, start, length``: the parts of each document that stand in others too, overlapping ones made one."""
-    blocks = reference_blocks(documents, key, text, span, phrase)
-    parts = blocks.mapInArrow(_coverer(span, phrase), "doc long, a int, b int").distinct()
+    parts = ReferenceBlocks(documents, key, text, span, phrase, block).factors().distinct()
     seen = Window.partitionBy("doc").orderBy("a", "b")  # bounded by one document's length
     parts = parts.withColumn("far", F.max("b").over(seen.rowsBetween(Window.unboundedPreceding, -1)))
     parts = parts.withColumn("no", F.sum((F.col("far").isNull() | (F.col("a") > F.col("far"))).cast("int")).over(seen))
@@ -291,6 +386,10 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_pairs(table(spark, sf_dir, "documents"))
 
 
+def p8_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_groups(table(spark, sf_dir, "documents"))
+
+
 def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_parts(table(spark, sf_dir, "documents"))
 

@@ -4,8 +4,9 @@ The lengths carry the search, the whole table is its ground:
 
 * lengths: for each source, field and unit (characters, bytes) windows over the distinct lengths give the discrete hazard
   of ending at a length. Each is tested against the pooled hazard of the lengths around it: given all endings of the
-  neighbourhood, the number at the length is binomial with its share of the values at risk. The exact upper tails of all
-  tests are held against one false discovery rate (Benjamini-Hochberg). The unit is the distinct value, so stock answers
+  neighbourhood, the number at the length is binomial with its share of the values at risk; likewise against the numbers
+  on each side, since hazards rise by themselves where few values are left. The largest of the exact upper tails counts,
+  and those of all lengths are held against one false discovery rate (Benjamini-Hochberg). The unit is the distinct value, so stock answers
   count once; endings made by the retrieval step (a hit shortened to 100 characters and ``...``) are no events.
 * endings: how often the last characters of a value are followed by the end of a sentence, a line or a value elsewhere in
   the field. At a significant length an ending counts as incomplete unless the field mostly ends there; the same if a
@@ -14,8 +15,8 @@ The lengths carry the search, the whole table is its ground:
   or more, answers in the prompt's format that stop before the last section.
 
 Defined cases: null, empty and blank values are no cuts; a null source is a source of its own; of rows with one id the one
-loaded last counts; a null prompt shows nothing; a response that only repeats what was asked is no cut; an empty table
-gives no rows.
+loaded last counts; a null prompt shows nothing; a bare placeholder and a response that only repeats what was asked are no
+cuts; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,6 +44,10 @@ RARE, USUAL = 0.2, 0.8  # share of ends after an ending: below, it is none by it
 # The sections of the answer format, first, second and last, in both languages.
 SECTIONS = (("风险等级", "风险点", "复核提示"), ("Risk level", "Risk points", "Review note"))
 FIELDS = ("retrieved_knowledge", "response")
+# What stands for an empty answer.
+PLACEHOLDERS = {
+    "", "-", "--", "/", ".", "...", "…", "……", "无", "空", "略", "暂无", "(空)", "[空]", "(无)", "待补充", "未填写", "none", "null", "nil", "nan", "n/a", "na", "undefined", "empty", "tbd", "todo", "[]", "{}", "()", '""', "''", "“”", "\\n",
+}
 MARK = re.compile(r"(…|\.\.\.|�|[\[（(【<][^\[\]（）()【】<>]{0,12}(截断|过长|超长|未完|省略|truncated|cut off)[^\[\]（）()【】<>]{0,12}[\]）)】>])\Z")
 SHORT_HIT = re.compile(r"\d+\. \[[^\]\n]*\] ?[^\n]{100}\.\.\.\Z")
 HIT = re.compile(r"\d+\. \[[^\]\n]*\d\] ?[^\s\]]")
@@ -80,6 +85,11 @@ def repeats(response: str | None, asked: str, run: int = 6, share: float = 0.7)
 # --- one value -----------------------------------------------------------------------------------------------------------
 
 
+def _bare(value: str) -> bool:
+    """Is the value a placeholder for no answer."""
+    return len(value) < 16 and compact(value).lower() in PLACEHOLDERS
+
+
 def _listed(prompt: str | None) -> list[str]:
     """The hits that the prompt shows, on one line each."""
     part = re.split(r"【参考资料】|\[References\]", prompt or "", maxsplit=1)
@@ -157,7 +167,7 @@ def _facts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sealed = not mark and (short or sign in _SIGNS or sign == "." and not _ABBREVIATED.search(value[-8:]))
                 form = bool(mark) or (_stops(value) if n else _broken_list(value, last, prompt))
                 size = text if not mark else value[: len(value) - len(mark[0])]
-                copied = bool(n) and (form or not sealed) and repeats(value, f"{prompt or ''}\n{clause or ''}")
+                copied = (form or not sealed) and (_bare(value) or bool(n) and repeats(value, f"{prompt or ''}\n{clause or ''}"))
                 rows.append((rid, source, field, len(size), len(size.encode("utf-8", "surrogatepass")), xxhash.xxh3_128_digest(value.encode("utf-8", "surrogatepass")), not short, sealed, form, copied))
                 tails.append(value[-TAIL:])
         if not rows:
@@ -215,11 +225,18 @@ def length_hazards(facts: DataFrame, rate: float = RATE, around: int = NEIGHBOUR
     offsets = F.when(gap <= 2 * around, F.sequence(F.lit(0), gap - 1)).otherwise(F.concat(F.sequence(F.lit(0), F.lit(around)), F.sequence(gap - around, gap - 1)))
     every = counts.select(*key, F.explode(offsets).alias("o"), "length", "n", "at_risk")
     every = every.select(*key, (F.col("length") - F.col("o")).alias("length"), F.when(F.col("o") == 0, F.col("n")).otherwise(0).alias("n"), "at_risk", (F.col("o") == 0).alias("seen"))
-    near, far = w.rangeBetween(-around, around), w.rangeBetween(-GUARD, GUARD)
-    every = every.withColumn("near_n", F.sum("n").over(near) - F.sum("n").over(far)).withColumn("near_risk", F.sum("at_risk").over(near) - F.sum("at_risk").over(far))
+    for side, over in (("left", w.rangeBetween(-around, -GUARD - 1)), ("right", w.rangeBetween(GUARD + 1, around))):
+        every = every.withColumn(f"{side}_n", F.coalesce(F.sum("n").over(over), F.lit(0))).withColumn(f"{side}_risk", F.coalesce(F.sum("at_risk").over(over), F.lit(0)))
+    every = every.withColumn("near_n", F.col("left_n") + F.col("right_n")).withColumn("near_risk", F.col("left_risk") + F.col("right_risk"))
     tests = every.where("seen AND n > 0")
     share = F.col("at_risk") / (F.col("at_risk") + F.col("near_risk"))
-    tests = tests.withColumn("p", F.when(F.col("near_risk") > 0, _upper_tail(F.col("n").cast("double"), (F.col("n") + F.col("near_n")).cast("double"), share)).otherwise(1.0))
+    n = F.col("n").cast("double")
+    p = F.when(F.col("near_risk") > 0, _upper_tail(n, n + F.col("near_n"), share)).otherwise(1.0)
+    # where few are left the hazard rises by itself, and where lengths set in it rises from 0: a limit also stands out
+    # from the numbers on either side, of those that come so far
+    for side in ("left", "right"):
+        p = F.greatest(p, F.when(F.col(f"{side}_risk") > 0, _upper_tail(n, n + F.col(f"{side}_n"), F.lit(1 / (1 + around - GUARD)))).otherwise(0.0))
+    tests = tests.withColumn("p", p)
     tests = tests.withColumn("hazard", F.col("n") / F.col("at_risk")).withColumn("base", F.col("near_n") / F.greatest("near_risk", F.lit(1)))
     # ranks over all tests: cells of p-values are summed up, and only within a cell rows are put in order
     tests = tests.withColumn("cell", F.floor(F.greatest(F.log("p"), F.lit(-700.0)) * -8).cast("int"))

@@ -6,7 +6,7 @@ import pytest
 
 from lexmill.llm import neardup as N
 from lexmill.llm import skeleton as S
-from lexmill.llm.blocks import block_pairs
+from lexmill.llm.blocks import block_pairs, expand_pairs, pairs_within
 from pyspark.sql import functions as F
 
 
@@ -85,8 +85,14 @@ def test_tree_keeps_every_alike_pair():
             b = v & (64 * N.WORDS - 1)
             bits[k, b >> 6] |= np.uint64(1) << np.uint64(b & 63)
     order = np.argsort(size, kind="stable")
-    tree = N._Tree(size[order], bits[order])
-    kept = {(min(order[a], order[b]), max(order[a], order[b])) for i, j in N.dual_traversal(tree, tree, True, 0.6) for a, b in zip(i, j)}
+    # one tree over all, and the same leaves twice as the two sides of a block
+    forest = N.Forest(np.zeros(len(order), np.int64), size[order], bits[order])
+    root = np.zeros(1, np.int64)
+    kept = {(min(order[a], order[b]), max(order[a], order[b])) for i, j in forest.traverse(root, root, 0.6) for a, b in zip(i, j)}
+    twice = np.append(order, order)
+    sides = N.Forest(np.repeat([0, 1], len(order)), size[twice], bits[twice])
+    across = {(twice[a], twice[b]) for i, j in sides.traverse(root, root + 1, 0.6) for a, b in zip(i, j)}
+    assert kept == {(a, b) for a, b in across if a < b}
     alike = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
     assert alike <= kept and len(kept) < len(texts) * (len(texts) - 1) / 8
 
@@ -105,6 +111,17 @@ def test_blocks_meet_once(spark):
     assert len(pairs) == len(set(pairs)) == 50 * 49 // 2
 
 
+@pytest.mark.parametrize("block", [3, 2048])
+def test_packed_pairs(spark, block):
+    """Hot groups are cut into arrays; pairs are the same."""
+    members = spark.createDataFrame([(k, i, n) for k, n in ((1, 20), (2, 2), (3, 1)) for i in range(100 * k, 100 * k + n)] + [(1, 100, 20)], "class long, id long, n long")
+    found = [(r.id_a, r.id_b) for r in pairs_within(members, ["class"], "id", "n", block).collect()]
+    assert len(found) == len(set(found)) == 20 * 19 // 2 + 1 and all(a < b for a, b in found)
+    links = spark.createDataFrame([(1, 2), (1, 3)], "class_a long, class_b long")
+    found = [(r.id_a, r.id_b) for r in expand_pairs(links, members, block).collect()]
+    assert sorted(found) == sorted((a, b) for a in range(100, 120) for b in (200, 201, 300))
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i != 20] + [(100, 101)], "class_a long, class_b long")
     found = {r["class"]: r.group for r in N.components(edges).collect()}

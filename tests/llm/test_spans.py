@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from lexmill.llm import spans
 from tests.llm.test_bpe_mixture_spans import shared
 
@@ -38,10 +40,44 @@ def test_pairs_of_tables_and_runs(spark):
     assert {(r.doc_a, r.doc_b) for r in spans.shared_pairs(df).collect()} == shared(texts, 120)[0]
 
 
-def test_parts_of_tables_and_runs(spark):
+def pairs_of(rows):
+    """Pairs of members of one group."""
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.group_id, set()).add(r.doc_id)
+    assert all(len(g) == max(r.docs for r in rows if r.group_id == name) for name, g in list(groups.items())[:20])
+    return {(a, b) for g in groups.values() for a in g for b in g if a < b}
+
+
+@pytest.mark.parametrize("block", [50_000, 1])
+def test_groups_of_tables_and_runs(spark, block):
+    """Blocks inside tasks and blocks spread as rows give the same groups and pairs."""
+    texts = documents(5)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    expected = shared(texts, 120)[0]
+    assert pairs_of(spans.shared_groups(df, block=block).collect()) == expected
+    assert {(r.doc_a, r.doc_b) for r in spans.shared_pairs(df, block=block).collect()} == expected
+
+
+@pytest.mark.parametrize("block", [50_000, 200])
+def test_one_passage_in_many_documents(spark, block):
+    """A group costs its members, not its pairs: 50,000 documents would have 1.2 billion."""
+    n = 50_000 if block > 200 else 2_000
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefghij") for _ in range(150))
+    rows = [(i, "".join(rng.choice("klmnopqrst") for _ in range(20)) + passage + "".join(rng.choice("klmnopqrst") for _ in range(20))) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = spans.shared_groups(df, block=block).groupBy("group_id").agg({"doc_id": "count", "docs": "max"}).collect()
+    assert max(r[1] for r in found) == n and max(r[2] for r in found) == n
+    parts = spans.shared_parts(df, block=block).collect()
+    assert len(parts) == n and all(r.start <= 20 and r.start + r.length >= 170 for r in parts)
+
+
+@pytest.mark.parametrize("block", [50_000, 1])
+def test_parts_of_tables_and_runs(spark, block):
     texts = documents(4)
     got = {i: [False] * len(t) for i, t in texts.items()}
-    for r in spans.shared_parts(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+    for r in spans.shared_parts(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), block=block).collect():
         got[r.doc_id][r.start : r.start + r.length] = [True] * r.length
     assert {i: sum(hit) for i, hit in got.items()} == shared(texts, 120)[1]
 

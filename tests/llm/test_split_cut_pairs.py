@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from lexmill.llm import pairs, splitting, truncation
 
 
@@ -82,7 +84,7 @@ def test_cut_values_and_pairs(spark):
     rows, cut, defect = reviews()
     df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA + ", value string")
     found = {(r.result_id, r.field_name) for r in truncation.cut_values(df).where("is_cut").collect()}
-    assert found == cut
+    assert found == cut, [(i, f, rows[i]) for i, f in sorted(found ^ cut)]
     got = {(r.result_id, r.defect) for r in pairs.defective_pairs(df).collect()}
     assert got == {(i, d) for i, d in defect.items()} | {(i, "truncated") for i, f in cut if f == "response"}
     assert truncation.cut_values(df.where("false")).count() == 0 and pairs.defective_pairs(df.where("false")).count() == 0
@@ -94,17 +96,58 @@ def test_nulls_everywhere(spark):
     assert {(r.result_id, r.defect) for r in pairs.defective_pairs(df).collect() if r.defect == "empty"} == {(1, "empty")}
 
 
+def facts(spark, rows):
+    """``(source, field, length, event)`` as the facts of distinct values."""
+    rows = [(s, f, n, n, str(k).encode(), e) for k, (s, f, n, e) in enumerate(rows)]
+    return spark.createDataFrame(rows, "source string, field_name string, chars int, bytes int, key binary, event boolean")
+
+
 def test_hazards(spark):
     import random as r
 
     rng = r.Random(4)
-    rows = [("s", "response", "x" * rng.randint(50, 400)) for _ in range(3000)] + [("s", "response", "x" * 260)] * 80
-    long = spark.createDataFrame(rows, "source string, field_name string, stored string")
-    found = {row.length for row in truncation.length_hazards(long).where("is_limit AND unit = 'chars'").collect()}
-    assert found == {260}
+    rows = [("s", "response", rng.randint(50, 400), True) for _ in range(3000)] + [("s", "response", 260, True)] * 80
+    rows += [("t", "response", 100, False)] * 50 + [("t", "response", rng.randint(50, 150), True) for _ in range(500)]
+    long = facts(spark, rows)
+    found = {(row.source, row.length) for row in truncation.length_hazards(long).where("is_limit AND unit = 'chars'").collect()}
+    assert found == {("s", 260)}  # endings that are no events make no limit
+    stock = long.withColumn("key", F.when(F.col("chars") == 260, F.lit(b"x")).otherwise(F.col("key")))
+    assert not truncation.length_hazards(stock).where("is_limit").count()  # one value, however often, counts once
     assert truncation.length_hazards(long.where("false")).count() == 0
 
 
+def test_hazards_against_brute_force(spark):
+    import random as r
+    from math import comb
+
+    rng = r.Random(9)
+    lengths = [rng.choice([3, 9, 10, 40, 41, 60, 61, 62, 90, 200, 1000]) for _ in range(60)] + [60] * 12
+    rows = truncation.length_hazards(facts(spark, [("s", "response", n, True) for n in lengths])).where("unit = 'chars'").collect()
+    pvalues = {}
+    for x in sorted(set(lengths)):
+        risk = lambda y: sum(n >= y for n in lengths)
+        near = [y for y in range(x - 12, x + 13) if abs(y - x) > 2]
+        # lengths further from any ending than the window bear on no test
+        seen = [y for y in near if y >= min(lengths) - 12 and y <= max(lengths)]
+        n, m = lengths.count(x), sum(lengths.count(y) for y in near)
+        exposure = sum(risk(y) for y in seen)
+        tail = lambda n, total, share: 1.0 if n <= total * share else sum(comb(total, k) * share**k * (1 - share) ** (total - k) for k in range(n, total + 1))
+        pvalues[x] = tail(n, n + m, risk(x) / (risk(x) + exposure)) if exposure else 1.0
+        for side in ([y for y in near if y < x], [y for y in near if y > x]):
+            if any(risk(y) for y in side if y in seen):
+                pvalues[x] = max(pvalues[x], tail(n, n + sum(lengths.count(y) for y in side), 1 / 11))
+    for row in rows:
+        assert abs(row.p - pvalues[row.length]) <= 1e-6 + 0.01 * pvalues[row.length], row
+
+
+def test_sorted_neighbours(spark):
+    texts = ["风险", "风险点在于利率", "风险点在于利率未定", "利率", "利", "x" * 90, "x" * 91, "其他"]
+    df = spark.createDataFrame([("response", t) for t in texts] + [("retrieved_knowledge", "风险点")], "field_name string, value string")
+    found = truncation.shortened(df)
+    expected = {truncation.xxhash.xxh3_128_digest(t.encode()) for t in texts if any(o != t and o.startswith(t) for o in texts)}
+    assert {bytes(r.key) for r in found.collect()} == expected and len(expected) == 4
+
+
 def test_languages():
     assert pairs.asked_language("x 请用中文作答。") == "zh" and pairs.asked_language("Answer in English.") == "en" and pairs.asked_language(None) is None
     assert pairs.language("条款原文“Each Guarantor shall prepay the loan at once”未区分担保与保证。") == "zh"
