@@ -21,6 +21,7 @@ cuts; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.neardup import compact
@@ -182,29 +183,38 @@ def _facts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- lengths -------------------------------------------------------------------------------------------------------------
 
 
-def _log_gamma(x: Column) -> Column:
-    """``ln Gamma(x)`` for x >= 1, by the Stirling series at x + 7."""
-    y = x + 7
-    low = x
-    for k in range(1, 7):
-        low = low * (x + k)
-    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, 5)) - F.log(low)
-
-
-def _upper_tail(n: Column, total: Column, share: Column, terms: int = 64) -> Column:
-    """``P(X >= n)`` of a binomial: the first terms summed, the rest bounded by a geometric series."""
+def upper_tail(n: np.ndarray, total: np.ndarray, share: np.ndarray, terms: int = 64) -> np.ndarray:
+    """``P(X >= n)`` of binomials: the first terms summed, the rest bounded by a geometric series."""
+    log_gamma = np.frompyfunc(math.lgamma, 1, 1)
+    n, total, share = n.astype(float), total.astype(float), np.clip(share, 1e-300, 1 - 1e-12)
     rest = total - n
-    first = F.exp(_log_gamma(total + 1) - _log_gamma(n + 1) - _log_gamma(rest + 1) + n * F.log(share) + F.when(rest > 0, rest * F.log(1 - share)).otherwise(0.0))
+    first = (log_gamma(total + 1) - log_gamma(n + 1) - log_gamma(rest + 1)).astype(float) + n * np.log(share) + rest * np.log1p(-share)
     odds = share / (1 - share)
-    start = F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term"))
+    series, term = np.ones(len(n)), np.ones(len(n))
+    for k in range(terms):
+        term = term * np.maximum(rest - k, 0) / (n + k + 1) * odds
+        series += term
+    ratio = np.minimum(np.maximum(rest - terms, 0) / (n + terms + 1) * odds, 0.999)
+    tail = np.exp(np.maximum(first, -700)) * (series + term * ratio / (1 - ratio))
+    return np.where(n <= total * share, 1.0, np.minimum(tail, 1.0))
+
+
+_TESTS = "source string, field_name string, unit string, length int, n long, at_risk long, left_n long, right_n long, left_risk long, right_risk long"
+
 
-    def step(acc: Column, k: Column) -> Column:
-        term = acc.term * F.greatest(rest - k, F.lit(0.0)) / (n + k + 1) * odds
-        return F.struct((acc.sum + term).alias("sum"), term.alias("term"))
+def _p_values(sides: float):
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            n, at_risk, left_n, right_n, left_risk, right_risk = (batch.column(c).to_numpy() for c in ("n", "at_risk", "left_n", "right_n", "left_risk", "right_risk"))
+            near = left_risk + right_risk
+            p = np.where(near > 0, upper_tail(n, n + left_n + right_n, at_risk / (at_risk + np.maximum(near, 1))), 1.0)
+            # where few are left the hazard rises by itself, and where lengths set in it rises from 0: a limit also stands
+            # out from the numbers on either side, of those that come so far
+            for count, risk in ((left_n, left_risk), (right_n, right_risk)):
+                p = np.maximum(p, np.where(risk > 0, upper_tail(n, n + count, np.full(len(n), sides)), 0.0))
+            yield batch.append_column("p", pa.array(p, pa.float64()))
 
-    ratio = F.least(F.greatest(rest - terms, F.lit(0.0)) / (n + terms + 1) * odds, F.lit(0.999))
-    series = F.aggregate(F.sequence(F.lit(0), F.lit(terms - 1)), start, step, lambda acc: acc.sum + acc.term * ratio / (1 - ratio))
-    return F.when(n <= total * share, F.lit(1.0)).otherwise(F.least(F.lit(1.0), first * series))
+    return run
 
 
 def length_hazards(facts: DataFrame, rate: float = RATE, around: int = NEIGHBOURS) -> DataFrame:
@@ -227,17 +237,9 @@ def length_hazards(facts: DataFrame, rate: float = RATE, around: int = NEIGHBOUR
     every = every.select(*key, (F.col("length") - F.col("o")).alias("length"), F.when(F.col("o") == 0, F.col("n")).otherwise(0).alias("n"), "at_risk", (F.col("o") == 0).alias("seen"))
     for side, over in (("left", w.rangeBetween(-around, -GUARD - 1)), ("right", w.rangeBetween(GUARD + 1, around))):
         every = every.withColumn(f"{side}_n", F.coalesce(F.sum("n").over(over), F.lit(0))).withColumn(f"{side}_risk", F.coalesce(F.sum("at_risk").over(over), F.lit(0)))
-    every = every.withColumn("near_n", F.col("left_n") + F.col("right_n")).withColumn("near_risk", F.col("left_risk") + F.col("right_risk"))
-    tests = every.where("seen AND n > 0")
-    share = F.col("at_risk") / (F.col("at_risk") + F.col("near_risk"))
-    n = F.col("n").cast("double")
-    p = F.when(F.col("near_risk") > 0, _upper_tail(n, n + F.col("near_n"), share)).otherwise(1.0)
-    # where few are left the hazard rises by itself, and where lengths set in it rises from 0: a limit also stands out
-    # from the numbers on either side, of those that come so far
-    for side in ("left", "right"):
-        p = F.greatest(p, F.when(F.col(f"{side}_risk") > 0, _upper_tail(n, n + F.col(f"{side}_n"), F.lit(1 / (1 + around - GUARD)))).otherwise(0.0))
-    tests = tests.withColumn("p", p)
-    tests = tests.withColumn("hazard", F.col("n") / F.col("at_risk")).withColumn("base", F.col("near_n") / F.greatest("near_risk", F.lit(1)))
+    tests = every.where("seen AND n > 0").select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in _TESTS.split(", ")))
+    tests = durable(tests.mapInArrow(_p_values(1 / (1 + around - GUARD)), f"{_TESTS}, p double"), "tests")
+    tests = tests.withColumn("hazard", F.col("n") / F.col("at_risk")).withColumn("base", (F.col("left_n") + F.col("right_n")) / F.greatest(F.col("left_risk") + F.col("right_risk"), F.lit(1)))
     # ranks over all tests: cells of p-values are summed up, and only within a cell rows are put in order
     tests = tests.withColumn("cell", F.floor(F.greatest(F.log("p"), F.lit(-700.0)) * -8).cast("int"))
     alone = Window.partitionBy(F.lit(1))  # one row a cell, at most 5,601
