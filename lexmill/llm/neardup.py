@@ -34,10 +34,11 @@ from lexmill.runtime import durable, parallelism, spread, table
 
 THRESHOLD = 0.6
 RUN = 4  # characters of a token
-BANDS, ROWS = 80, 5
+BANDS, ROWS = 50, 4
 WORDS = 8  # 64-bit words of a bitmap
 FAN = 8  # children of an inner node
-PART_BYTES = 16_000_000  # routes held at once by a task, about
+PART_BYTES, PARTS = 4_000_000, 64  # routes held at once by a task, about, and the parts there are at least
+KEY = 6  # bytes of a route that travel; two routes that agree in them only cost a tree more work
 _FULL = np.uint32(0xFFFFFFFF)
 
 
@@ -132,7 +133,7 @@ def _router(parts: int):
             rows = []
             for a, b in zip(cut, np.append(cut[1:], len(part))):
                 some, many = np.unique(doc[a:b], return_counts=True)
-                rows.append((int(part[a]), keys[a:b].tobytes(), ids[some].tobytes(), many.astype(np.uint8).tobytes()))
+                rows.append((int(part[a]), keys[a:b].view(np.uint8).reshape(-1, 8)[:, 8 - KEY :].tobytes(), ids[some].tobytes(), many.astype(np.uint8).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["part", "keys", "ids", "many"])
 
     return run
@@ -140,7 +141,10 @@ def _router(parts: int):
 
 def _joined(pieces: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
     """The routes of one part that at least two classes take: one row a class."""
-    keys = np.concatenate([np.frombuffer(k, np.uint64) for k, _, _ in pieces])
+    sent = np.concatenate([np.frombuffer(k, np.uint8) for k, _, _ in pieces]).reshape(-1, KEY)
+    keys = np.zeros((len(sent), 8), np.uint8)
+    keys[:, 8 - KEY :] = sent
+    keys = keys.view(np.uint64).reshape(-1)
     ids = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(m, np.uint8)) for _, i, m in pieces])
     order = np.argsort(keys, kind="stable")
     twin = keys[order][1:] == keys[order][:-1]
@@ -307,8 +311,8 @@ def _checker(t: float):
 def candidate_pairs(signed: DataFrame, slim: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """The leaves of all trees in blocks, and the pairs of handles (``class_a, class_b``) that the trees leave over."""
     rows = signed.count()
-    parts = max(parallelism(signed.sparkSession), -(-rows * BANDS * 16 // PART_BYTES))
-    packed = slim.select("text").mapInArrow(_router(parts), "part int, keys binary, ids binary, many binary").repartition(min(parts, parallelism(signed.sparkSession, 8)), "part").sortWithinPartitions("part")
+    parts = max(PARTS, -(-rows * BANDS * 16 // PART_BYTES))
+    packed = slim.select("text").mapInArrow(_router(parts), "part int, keys binary, ids binary, many binary").repartition(max(parallelism(signed.sparkSession), -(-parts // 4)), "part").sortWithinPartitions("part")
     nodes = durable(packed.mapInArrow(_nodes, "node long, class long, rows long"), "nodes")
     leaves = signed.drop("id", "form").dropDuplicates(["class"])
     blocks = block_pairs(nodes.join(leaves, "class"), "node", F.col("rows"), F.col("class"))
