@@ -164,6 +164,12 @@ def document_text(rows: DataFrame) -> DataFrame:
     return rows.groupBy("file_path").agg(ordered.alias("rows")).select("file_path", F.array_join(F.flatten(F.transform("rows", lambda r: r.parts)), "\n\n").alias("full_text"), F.size("rows").alias("total_paragraphs"))
 
 
-def report(results: DataFrame) -> DataFrame:
-    """Outcome of a cleaning run: files, cleaned, failed."""
-    return results.agg(F.count("*").alias("n_files"), F.count_if("extraction_success").alias("n_cleaned"), F.count_if(~F.col("extraction_success")).alias("n_failed"))
+def report(results: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Outcome of a cleaning run: files, cleaned, failed, in all or by ``keys``."""
+    counts = [F.count("*").alias("n_files"), F.count_if("extraction_success").alias("n_cleaned"), F.count_if(~F.col("extraction_success")).alias("n_failed")]
+    return results.groupBy(*keys).agg(*counts) if keys else results.agg(*counts)
+
+
+def folder_of(path: Column | str) -> Column:
+    """The folder of a path, empty for a bare name."""
+    return F.regexp_extract(T.col(path), r"(?s)\A(.*)/[^/]*\z", 1)

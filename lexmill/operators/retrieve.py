@@ -1,7 +1,7 @@
 """Exact cosine retrieval with metadata and text filters.
 
-Vectors are scored where they lie: queries (a stated, small set) go to every partition in blocks, each partition keeps its
-own best ``k`` of a query, and only those are shuffled and ranked. The corpus itself is never moved.
+Vectors are packed into blocks, one row a block; the stated query set meets the corpus block by block in matrix products,
+each task keeps its own best ``k`` of a query, and only those are exchanged and ranked.
 """
 
 from __future__ import annotations
@@ -14,11 +14,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_COMPARE = {"$eq": "__eq__", "$ne": "__ne__", "$gt": "__gt__", "$gte": "__ge__", "$lt": "__lt__", "$lte": "__le__"}
+from lexmill.runtime import spread
+
+_COMPARE = {"$eq": "__eq__", "$gt": "__gt__", "$gte": "__ge__", "$lt": "__lt__", "$lte": "__le__"}
 
 
 def where_metadata(condition: dict, column=F.col) -> Column:
-    """A metadata filter: ``{field: value}``, comparison operators, ``$in``, ``$nin``, ``$and``, ``$or``."""
+    """A metadata filter: ``{field: value}``, comparison operators, ``$in``, ``$nin``, ``$and``, ``$or``.
+
+    A row without the field (null) is not equal to any value, so ``$ne`` and ``$nin`` keep it; other comparisons drop it.
+    """
     parts = []
     for key, value in condition.items():
         if key in ("$and", "$or"):
@@ -26,7 +31,9 @@ def where_metadata(condition: dict, column=F.col) -> Column:
         elif isinstance(value, dict):
             for op, operand in value.items():
                 if op in ("$in", "$nin"):
-                    parts.append(column(key).isin(operand) if op == "$in" else ~column(key).isin(operand))
+                    parts.append(column(key).isin(operand) if op == "$in" else ~F.coalesce(column(key).isin(operand), F.lit(False)))
+                elif op == "$ne":
+                    parts.append(~column(key).eqNullSafe(operand))
                 else:
                     parts.append(getattr(column(key), _COMPARE[op])(operand))
         else:
@@ -63,54 +70,81 @@ def top_k(corpus: DataFrame, query: list[float] | Column, k: int = 3, key: str =
     return scored.withColumn("similarity", F.round(1 - F.col("distance"), 6)).orderBy("distance", key).limit(k)
 
 
-def _best(queries: list[tuple[int, list[float]]], k: int, block: int = 256):
-    ids = np.array([q for q, _ in queries], np.int64)
-    matrix = np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
-    length = np.linalg.norm(matrix, axis=1)
-    ids, matrix = ids[length > 0], matrix[length > 0] / length[length > 0, None]
+_BLOCK = "ids binary, vectors binary, width int"
+
+
+def _packer(rows: int):
+    """Rows ``id, vector`` as blocks: ids and unit vectors in double precision, one block a dimension. Vectors of length zero have no direction."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: tuple[np.ndarray, np.ndarray] | None = None  # distance and id of the best k so far, a row a query
         for batch in stream:
-            batch = batch.filter(pa.compute.is_valid(batch.column(1)))
-            if not batch.num_rows or not len(ids):
-                continue
+            batch = batch.filter(pa.compute.and_(pa.compute.is_valid(batch.column(0)), pa.compute.is_valid(batch.column(1))))
             sizes = pa.compute.list_value_length(batch.column(1)).to_numpy()
-            batch = batch.filter(pa.array(sizes == matrix.shape[1]))
-            if not batch.num_rows:
-                continue
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            own = batch.column(0).to_numpy()
-            norm = np.linalg.norm(v, axis=1)
-            v, own = v[norm > 0] / norm[norm > 0, None], own[norm > 0]
-            for at in range(0, len(own), 8192):
-                part, names = v[at : at + 8192], own[at : at + 8192]
-                d = np.round(1 - matrix @ part.T, 6) + 0.0
-                n = np.broadcast_to(names, d.shape)
-                if best is not None:
-                    d, n = np.concatenate([best[0], d], 1), np.concatenate([best[1], n], 1)
-                order = np.lexsort((n, d), axis=1)[:, :k]
-                best = np.take_along_axis(d, order, 1), np.take_along_axis(n, order, 1)
-        if best is not None:
-            width = best[0].shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, width)), pa.array(best[1].reshape(-1)), pa.array(best[0].reshape(-1))], ["query_id", "hit_id", "distance"])
+            for width in np.unique(sizes[sizes > 0]).tolist():
+                some = batch.filter(pa.array(sizes == width))
+                v = some.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+                norm = np.sqrt((v * v).sum(1))
+                good = np.isfinite(norm) & (norm > 0)
+                v, own = v[good] / norm[good, None], some.column(0).to_numpy()[good]
+                for at in range(0, len(own), rows):
+                    yield pa.RecordBatch.from_arrays([pa.array([own[at : at + rows].tobytes()]), pa.array([v[at : at + rows].tobytes()]), pa.array([width], pa.int32())], ["ids", "vectors", "width"])
+
+    return run
+
+
+def _smallest(d: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` first of each row by distance and id; ties at the k-th distance are kept until ids decide."""
+    if d.shape[1] > 4 * k:
+        bound = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        most = int((d <= bound).sum(1).max())
+        order = np.argpartition(d, most - 1, axis=1)[:, :most] if most < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+        d, n = np.take_along_axis(d, order, 1), np.take_along_axis(n, order, 1)
+    order = np.lexsort((n, d), axis=1)[:, :k]
+    return np.take_along_axis(d, order, 1), np.take_along_axis(n, order, 1)
+
+
+def _scorer(k: int, held_blocks: int = 256):
+    """Pairs of a query block and a corpus block to the best ``k`` of each query, kept over the pairs of a task.
+
+    At most ``held_blocks`` query blocks are held with their best; before more come, what is held is given out.
+    """
+
+    def give(best: dict[bytes, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for ids, (d, n) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.frombuffer(ids, np.int64), d.shape[1])), pa.array(n.reshape(-1)), pa.array(d.reshape(-1))], ["query_id", "hit_id", "distance"])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in stream:
+            for width, q_width, q_ids, q, ids, v in zip(*(batch.column(c).to_pylist() for c in ("width", "q_width", "q_ids", "q_vectors", "ids", "vectors"))):
+                if width != q_width:
+                    continue
+                left, right = np.frombuffer(q, np.float64).reshape(-1, width), np.frombuffer(v, np.float64).reshape(-1, width)
+                d = np.round(1 - left @ right.T, 6) + 0.0
+                n = np.broadcast_to(np.frombuffer(ids, np.int64), d.shape)
+                d, n = _smallest(d, n, k)
+                if q_ids in best:
+                    d, n = _smallest(np.concatenate([best[q_ids][0], d], 1), np.concatenate([best[q_ids][1], n], 1), k)
+                elif len(best) >= held_blocks:
+                    yield from give(best)
+                    best = {}
+                best[q_ids] = d, n
+        yield from give(best)
 
     return run
 
 
-def top_k_many(corpus: DataFrame, queries: DataFrame, k: int = 3, key: str = "vec_id", vector: str = "embedding", most: int = 20_000) -> DataFrame:
+def top_k_many(corpus: DataFrame, queries: DataFrame, k: int = 3, key: str = "vec_id", vector: str = "embedding", query_rows: int = 512, corpus_rows: int = 4096) -> DataFrame:
     """``query_id, hit_id, distance, similarity, rank`` of the ``k`` nearest corpus rows of every query row.
 
-    The queries are read in blocks of at most ``most`` rows; a larger set is answered block by block, in as many passes.
+    Both sides become blocks of vectors, one row a block, and the stated query set meets the corpus block by block; what is
+    exchanged are a task's best ``k`` of each query. Nothing comes to the driver. The blocks of the queries are broadcast
+    if Spark knows them to be small (``spark.sql.autoBroadcastJoinThreshold``), else both sides are read block by block.
+    Exact; null vectors, those of length zero and those of another dimension are nobody's neighbours.
     """
-    rows = queries.select(F.col(key).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
-    total = rows.count()
-    passes = max(1, -(-total // most))
-    slim = corpus.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-    found = None
-    for n in range(passes):
-        some = rows if passes == 1 else rows.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == n)
-        hits = slim.mapInArrow(_best([(r.q, r.v) for r in some.toLocalIterator()], k), "query_id long, hit_id long, distance double")
-        found = hits if found is None else found.unionByName(hits)
+    pack = lambda rows, n: rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(_packer(n), _BLOCK)
+    asked = pack(queries, query_rows).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("width").alias("q_width"))
+    # block against block; no equality as a key, since all blocks of one dimension would meet in one task
+    found = pack(spread(corpus), corpus_rows).crossJoin(asked).mapInArrow(_scorer(k), "query_id long, hit_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "hit_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("similarity", F.round(1 - F.col("distance"), 6))

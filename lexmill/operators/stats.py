@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 IMPORTANT, HIGH, SHOWN, TOP_TYPES = 15, 10, 15, 3  # priority limits, clauses shown, types shown
 
@@ -51,13 +53,54 @@ def continuity(chunks: DataFrame, document: str, index: str = "chunk_index") ->
     return found.withColumn("is_complete", F.col("n_found") == F.col("n_expected")).drop("__have")
 
 
+def _probe(rows: pd.DataFrame, base: str) -> pd.DataFrame:
+    """Names one after the other; a taken one is tried with ``_1``, ``_2`` and so on."""
+    taken: set[str] = set()
+    last: dict[str, int] = {}
+    names = []
+    for name in rows[base]:
+        free, n = name, last.get(name, 0)
+        while free in taken:
+            n += 1
+            free = f"{name}_{n}"
+        last[name] = n
+        taken.add(free)
+        names.append(free)
+    return rows.assign(folder=names)
+
+
 def folder_names(documents: DataFrame, base: str, order: list[str]) -> DataFrame:
-    """A folder of its own for each document: the base name, with ``_1``, ``_2`` for later ones of the same base.
+    """A folder of its own for each document: the base name, with ``_1``, ``_2`` for later ones of the same base, until free.
 
-    A numbered name that is the base name of others is numbered on from there: their count is added first.
+    Names can only meet within a family: bases that are equal up to a numbering at their end. A family with one base is
+    numbered by a window; one with several (a, a_1) is numbered in order, each name tried until it is free.
     """
+    rows = documents.withColumn("__family", F.regexp_replace(base, r"(_[0-9]+)+\z", ""))
+    mixed = rows.groupBy("__family").agg(F.min(base).alias("a"), F.max(base).alias("b")).where("a <> b").select("__family")
     place = F.row_number().over(Window.partitionBy(base).orderBy(*order)) - 1
-    rows = documents.withColumn("__n", place).withColumn("folder", F.when(F.col("__n") == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), F.col("__n").cast("string"))))
-    again = F.row_number().over(Window.partitionBy("folder").orderBy("__n", *order)) - 1
-    rows = rows.withColumn("__m", again)
-    return rows.withColumn("folder", F.when(F.col("__m") == 0, F.col("folder")).otherwise(F.concat(F.col("folder"), F.lit("_"), F.col("__m").cast("string")))).drop("__n", "__m")
+    plain = rows.join(mixed, "__family", "left_anti").withColumn("__n", place)
+    plain = plain.withColumn("folder", F.when(F.col("__n") == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), F.col("__n").cast("string")))).drop("__n", "__family")
+    met = rows.join(mixed, "__family", "left_semi")
+    schema = T.StructType([*met.schema.fields, T.StructField("folder", T.StringType())])
+    probed = met.groupBy("__family").applyInPandas(lambda part: _probe(part.sort_values(order, kind="stable"), base), schema).drop("__family")
+    return plain.unionByName(probed)
+
+
+def overall_report(chunks: DataFrame, folders: DataFrame, document: str = "file_path") -> DataFrame:
+    """One row a document with its counts and the folder and title it is kept under."""
+    return by_document(chunks, [document]).join(folders, document, "left")
+
+
+def report_lines(chunks: DataFrame, document: str = "file_path", columns: tuple[str, ...] = ("clause_type", "contract_party")) -> DataFrame:
+    """The statistics of each document as text: counts, lengths, histograms (largest first, then first seen), gaps."""
+    sizes = by_document(chunks, [document]).join(continuity(chunks, document).select(document, "missing"), document)
+    head = F.concat_ws("\n", F.concat(F.lit("chunks: "), "n_chunks"), F.concat(F.lit("average length: "), F.round("avg_length", 0).cast("long")), F.concat(F.lit("longest: "), "max_length"), F.concat(F.lit("shortest: "), "min_length"))
+    gaps = F.when(F.size("missing") > 0, F.concat(F.lit("missing: "), F.array_join(F.transform("missing", lambda x: x.cast("string")), ", "))).otherwise("complete")
+    report = sizes.select(document, head.alias("__head"), gaps.alias("__gaps"))
+    for column in columns:
+        counts = chunks.groupBy(document, column).agg(F.count("*").alias("n"), F.min("chunk_index").alias("first_at"))
+        counts = counts.withColumn("percent", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(document)))
+        line = F.format_string("  %s: %d (%.1f%%)", F.coalesce(F.col(column), F.lit("-")), F.col("n"), F.col("percent"))
+        lines = counts.groupBy(document).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "first_at", line.alias("l")))).alias("x"))
+        report = report.join(lines.select(document, F.concat(F.lit(f"{column}:\n"), F.array_join(F.transform("x", lambda r: r.l), "\n")).alias(f"__{column}")), document, "left")
+    return report.select(document, F.concat_ws("\n", "__head", *(f"__{c}" for c in columns), "__gaps").alias("report"))

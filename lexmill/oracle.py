@@ -243,7 +243,7 @@ SQL["neighbor_context_filter"] = f"WITH q AS (SELECT file_path, pos, regexp_repl
 SQL["hierarchy_levels"] = f"SELECT file_path, pos, {_hierarchy(_strip('text'))} AS level, {_any('text', C.LAW_SECTIONS)} AS is_section FROM paragraphs"
 SQL["cleaning_report"] = "SELECT count(*) AS n_files, count(*) FILTER (extraction_success) AS n_cleaned, count(*) FILTER (NOT extraction_success) AS n_failed FROM extracted_docs"
 SQL["contract_titles"] = f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY pos) AS n FROM (SELECT file_path, pos, {_strip("text")} AS text FROM paragraphs) WHERE length(text) > 0),
-    f AS (SELECT file_path, min_by(text, n) FILTER (n <= 5 AND {_any("text", T.TITLE_WORDS)}) AS t FROM p GROUP BY file_path) SELECT file_path, coalesce({_clip(_strip("t"), 100)}, 'stem') AS title FROM f"""
+    f AS (SELECT file_path, min_by(text, n) FILTER (n <= 5 AND {_any("text", T.TITLE_WORDS)}) AS t FROM p GROUP BY file_path) SELECT f.file_path, coalesce({_clip(_strip("t"), 100)}, file_stem) AS title FROM f LEFT JOIN extracted_docs USING (file_path)"""
 SQL["standardize_contract"] = f"SELECT chunk_id, {_standard_contract('text')} AS text FROM chunks"
 SQL["standardize_law"] = f"SELECT chunk_id, {_standard_law('text')} AS text FROM chunks"
 _numeral = "CASE n " + " ".join(f"WHEN {_q(w)} THEN '{v}'" for v, w in enumerate(_WORDS20, 1)) + " ELSE n END"
@@ -262,8 +262,8 @@ SQL["md5_fingerprint"] = f"WITH {_SCAN} SELECT * FROM scan"
 SQL["manifest_latest"] = f"WITH {_MAN} SELECT source_file, content_hash, processed_at, document_count, coalesce(file_size, 0) AS file_size FROM man"
 SQL["manifest_diff"] = f"WITH {_DIFF} SELECT * FROM diff"
 SQL["incremental_upsert"] = f"""WITH {_DIFF}, {_ROWS}, chg AS (SELECT source_file FROM diff WHERE status IN ('new', 'modified') AND source_file IN (SELECT source_file FROM cnt))
-    SELECT 'old-' || id AS id, source_file, length(document)::INTEGER AS size FROM rws WHERE source_file IN (SELECT source_file FROM manifest) AND source_file NOT IN (SELECT source_file FROM chg)
-    UNION ALL SELECT id, source_file, length(document)::INTEGER FROM rws WHERE source_file IN (SELECT source_file FROM chg)"""
+    SELECT 'old-' || id AS id, source_file, document FROM rws WHERE source_file IN (SELECT source_file FROM manifest) AND source_file NOT IN (SELECT source_file FROM chg)
+    UNION ALL SELECT id, source_file, document FROM rws WHERE source_file IN (SELECT source_file FROM chg)"""
 SQL["manifest_after_import"] = f"""WITH {_DIFF}, {_ROWS}, fresh AS (SELECT d.source_file, d.content_hash, '2025-01-01T00:00:00' AS processed_at, c.n::INTEGER AS document_count, d.file_size FROM diff d JOIN cnt c USING (source_file) WHERE d.status IN ('new', 'modified'))
     SELECT source_file, content_hash, processed_at, document_count, coalesce(file_size, 0) AS file_size FROM man WHERE source_file NOT IN (SELECT source_file FROM fresh) UNION ALL SELECT * FROM fresh"""
 SQL["import_stats"] = f"""WITH {_DIFF}, {_ROWS}, f AS (SELECT status, coalesce(n, 0) AS n, status IN ('new', 'modified') AS fresh FROM diff LEFT JOIN cnt USING (source_file))
@@ -293,9 +293,10 @@ def _context(c: str) -> str:
     return _strip(f"regexp_replace(regexp_replace(regexp_replace(coalesce({c}, ''), '\\[相似度: [0-9.]+\\]', '', 'g'), '\\[[^\\]]*\\]', '', 'g'), '[{_SP}]+', ' ', 'g')")
 
 
+_three = "round(similarity::DECIMAL(9, 6), 3)::DECIMAL(9, 3)::VARCHAR"
 SQL["format_hits"] = f"""WITH h AS (SELECT h.*, coalesce(d.text, '') AS raw, {_context("d.text")} AS doc FROM ({_many("SELECT * FROM embeddings")}) h LEFT JOIN documents d ON d.doc_id = h.hit_id)
-    SELECT query_id, concat_ws(chr(10), '{P.HEADING}', string_agg(CASE WHEN doc <> '' THEN rank || '. [相似度: 0.500] ' || {_clip("doc", 100)} END, chr(10) ORDER BY rank)) AS context,
-        concat_ws(chr(10), '{P.HEADING}', string_agg(rank || '. [相似度: 0.500] ' || {_clip("raw", 150)}, chr(10) ORDER BY rank)) AS raw_context FROM h GROUP BY query_id"""
+    SELECT query_id, concat_ws(chr(10), '{P.HEADING}', string_agg(CASE WHEN doc <> '' THEN rank || '. [相似度: ' || {_three} || '] ' || {_clip("doc", 100)} END, chr(10) ORDER BY rank)) AS context,
+        concat_ws(chr(10), '{P.HEADING}', string_agg(rank || '. [相似度: ' || {_three} || '] ' || {_clip("raw", 150)}, chr(10) ORDER BY rank)) AS raw_context FROM h GROUP BY query_id"""
 SQL["pooled_embeddings"] = """WITH m AS (SELECT label, k, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings) GROUP BY label, k)
     SELECT label, k::INTEGER AS k, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 5) AS x FROM m"""
 
@@ -311,3 +312,18 @@ SQL["build_prompt"] = f"""WITH {_R}, l AS (SELECT *, list_filter(string_split(co
 SQL["plain_prompts"] = f"WITH {_R} SELECT result_id, {_q(P.SIMPLE[0])} || clause || {_q(P.SIMPLE[1])} AS simple, {_q(P.FALLBACK)} || clause AS fallback FROM r"
 SQL["timeout_tiers"] = f"WITH {_R} SELECT result_id, CASE WHEN length(prompt) < 100 THEN 30 WHEN length(prompt) < 300 THEN 60 WHEN length(prompt) < 500 THEN 120 ELSE 180 END AS seconds FROM r"
 SQL["latency_classes"] = f"WITH {_R} SELECT CASE WHEN time_seconds > 60 THEN 'slow' WHEN time_seconds > 30 THEN 'long' WHEN time_seconds IS NOT NULL THEN 'good' END AS latency, count(*) AS n FROM r GROUP BY 1"
+SQL["review_json"] = f"WITH {_R} SELECT DISTINCT r.*, t.review_time AS timestamp, 6::INTEGER AS n_fields FROM r JOIN result t USING (result_id)"
+SQL["cleaning_report_by_folder"] = """SELECT regexp_extract(file_path, '(?s)\\A(.*)/[^/]*\\z', 1) AS folder, count(*) AS n_files, count(*) FILTER (extraction_success) AS n_cleaned, count(*) FILTER (NOT extraction_success) AS n_failed FROM extracted_docs GROUP BY 1"""
+SQL["statistics_with_folders"] = f"""SELECT s.*, n.folder, d.contract_title FROM ({SQL["chunk_stats"]}) s LEFT JOIN ({SQL["folder_names"]}) n USING (file_path) LEFT JOIN extracted_docs d USING (file_path)"""
+SQL["replaced_rows"] = f"""WITH {_DIFF}, {_ROWS} SELECT source_file, CASE WHEN source_file IN (SELECT source_file FROM manifest) THEN n ELSE 0 END AS deleted, n AS added FROM diff JOIN cnt USING (source_file) WHERE status IN ('new', 'modified')"""
+
+# --- files -------------------------------------------------------------------------------------------------------------
+
+SQL["chunk_files_read_back"] = f"""WITH c AS (SELECT DISTINCT * EXCLUDE (chunk_id, loaded_at, import_time) FROM chunks), n AS (SELECT file_path, count(*)::INTEGER AS total_chunks FROM c GROUP BY 1)
+    SELECT DISTINCT text AS document, source, file_path, total_chunks, total_chunks_in_doc, source_stem, contract_title, clause_type, header AS clause_header, contract_party, clause_priority, chunk_size, chunk_preview FROM c JOIN n USING (file_path) WHERE text <> ''"""
+_shown = "regexp_replace({}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')"
+SQL["word_files_read_back"] = f"""SELECT md5(file_path) AS document, (row_number() OVER (PARTITION BY file_path ORDER BY pos) - 1)::INTEGER AS pos, replace(coalesce({_shown.format("text")}, ''), chr(13), chr(10)) AS text, coalesce(style, 'Normal') AS style,
+    coalesce(font_size, 11) AS font_size, coalesce(is_bold, false) AS is_bold, coalesce(is_italic, false) AS is_italic, coalesce(alignment, 'LEFT') AS alignment FROM paragraphs QUALIFY coalesce(style, '') <> 'Table'"""
+_seen = _strip(_shown.format("text"))
+SQL["word_texts_read_back"] = f"""WITH {_CONTRACT}, t AS (SELECT file_path, pos * 2 AS place, '[表格内容]' AS t FROM r WHERE role = 'table' UNION ALL SELECT file_path, pos * 2 + 1, replace({_seen}, chr(13), chr(10)) FROM r)
+    SELECT md5(file_path) AS document, string_agg(t, chr(10) || chr(10) ORDER BY place) AS full_text, count(*)::INTEGER AS total_paragraphs, true AS extraction_success FROM t WHERE length(t) > 0 GROUP BY file_path"""

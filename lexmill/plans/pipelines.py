@@ -9,12 +9,38 @@ from pyspark.sql import functions as F
 
 from lexmill.operators import cleaning, embed, index, prompt, retrieve, segment
 from lexmill.runtime import durable
-from lexmill.sources import chunks, docx
+from lexmill.sources import chunks, docx, sinks
+
+
+def _read(spark: SparkSession, folder: str, kind: str, recursive: bool) -> DataFrame:
+    """The paragraphs of the Word files of a folder, parsed once. Statutes end in small or capital letters throughout."""
+    files = docx.scan(spark, folder, recursive=recursive) if kind == "contract" else docx.scan(spark, folder, recursive=recursive, suffix=r"\.(docx?|DOCX?)$", ignore_case=False)
+    return durable(docx.read_paragraphs(files), "paragraphs")
+
+
+def clean_files(spark: SparkSession, folder: str, target: str, kind: str) -> DataFrame:
+    """Cleans the Word files below a folder into Word files of the same layout below another; gives the counts by folder."""
+    read = _read(spark, folder, kind, True)
+    cleaned = cleaning.clean_contract(read) if kind == "contract" else cleaning.clean_law(read)
+    made = sinks.cleaned_documents(cleaned)
+    root = read.sparkSession._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath()
+    path = F.regexp_replace("file_path", r"\Afile:/*", "/")
+    sinks.write_files(made.withColumn("file_path", sinks.output_name(path, root, target)))
+    facts = docx.extracted(read).join(made.select("file_path", F.lit(True).alias("made")), "file_path", "left")
+    return cleaning.report(facts.withColumn("folder", cleaning.folder_of("file_path")).withColumn("extraction_success", F.col("extraction_success") & F.col("made").isNotNull()), ["folder"])
+
+
+def seed_row(spark: SparkSession, now: str, model: str = "hashing", make: Callable = embed.HashingEmbedder) -> DataFrame:
+    """The system row of a new store."""
+    text = "合同数据库"
+    facts = F.create_map(*(F.lit(x) for x in ("db_version", "1.0", "created_at", now, "total_files", "0", "last_updated", now, "model_info", model, "source", "system", "type", "system_info", "clause_header", text)))
+    row = spark.range(1).select(F.lit("system").alias("id"), F.lit(text).alias("document"), F.lit("system").alias("source_file"), facts.alias("metadata"))
+    return embed.embed(row, "document", "embedding", make)
 
 
 def clean_and_split(spark: SparkSession, folder: str, kind: str, min_length: int | None = None, recursive: bool = True) -> DataFrame:
-    """Word documents of one kind to clauses, in one narrow plan but for the exchange by document."""
-    read = docx.read_paragraphs(docx.scan(spark, folder, recursive=recursive))
+    """Word documents of one kind to clauses, without an exchange but the one by document."""
+    read = _read(spark, folder, kind, recursive)
     facts = docx.extracted(read).select("file_path", "file_name", "file_stem", "contract_title", "extraction_success")
     cleaned = cleaning.clean_contract(read) if kind == "contract" else cleaning.clean_law(read)
     docs = cleaning.document_text(cleaned).join(facts, "file_path")
@@ -29,7 +55,7 @@ def import_folders(spark: SparkSession, store: index.Store, folders: list[str],
     changes = durable(index.classify(files.drop("content"), store.manifest()), "changes")
     fresh = files.join(changes.where("status IN ('new', 'modified')").select("source_file"), "source_file", "left_semi")
     rows = durable(embed.embed(chunks.load_chunks(fresh, now), "document", "embedding", make), "rows")
-    store.commit(index.upsert(store.index(), rows, changes), index.new_manifest(store.manifest(), changes, rows, F.lit(now)))
+    store.apply(rows, changes, index.new_manifest(store.manifest(), changes, rows, F.lit(now)))
     return index.import_stats(changes, rows)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as T
 from lexmill.operators import cleaning, embed, index, prompt, retrieve, segment, stats
 from lexmill.oracle import SQL as SQL
-from lexmill.runtime import once, spread, table
+from lexmill.runtime import once, shared_dir, spread, table
+from lexmill.sources import chunks, docx, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 NOW = "2025-01-01T00:00:00"  # the moment of the imports below
@@ -163,7 +165,8 @@ def cleaning_report(spark: SparkSession, d: str) -> DataFrame:
 def contract_titles(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "paragraphs").withColumn("text", T.strip("text")).where(F.length("text") > 0)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x.text)
-    return rows.groupBy("file_path").agg(ordered.alias("p")).select("file_path", T.contract_title(F.col("p"), F.lit("stem")).alias("title"))
+    stems = table(spark, d, "extracted_docs").select("file_path", "file_stem")
+    return rows.groupBy("file_path").agg(ordered.alias("p")).join(stems, "file_path", "left").select("file_path", T.contract_title(F.col("p"), F.col("file_stem")).alias("title"))
 
 
 @query
@@ -229,7 +232,7 @@ def incremental_upsert(spark: SparkSession, d: str) -> DataFrame:
     changes = manifest_diff(spark, d)
     rows = _rows(spark, d)
     known = rows.join(table(spark, d, "manifest").select("source_file").distinct(), "source_file", "left_semi").withColumn("id", F.concat(F.lit("old-"), "id"))
-    return index.upsert(known.select("id", "document", "source_file"), rows, changes).select("id", "source_file", F.length("document").alias("size"))
+    return index.upsert(known.select("id", "document", "source_file"), rows, changes).select("id", "source_file", "document")
 
 
 @query
@@ -289,7 +292,6 @@ def vector_topk_where_document(spark: SparkSession, d: str) -> DataFrame:
 def format_hits(spark: SparkSession, d: str) -> DataFrame:
     """Contexts of the query rows in both renderings."""
     hits = vector_topk_many(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("hit_id"), F.col("text").alias("document")), "hit_id", "left")
-    hits = hits.withColumn("similarity", F.lit(0.5))  # text forms of measured numbers differ between engines
     a = prompt.format_hits(hits, ["query_id"])
     return a.join(prompt.format_hits(hits, ["query_id"], cleaned=False).withColumnRenamed("context", "raw_context"), "query_id")
 
@@ -297,16 +299,13 @@ def format_hits(spark: SparkSession, d: str) -> DataFrame:
 @query
 def hashing_embeddings(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "result").select("result_id", "clause").distinct()
-    return embed.embed(rows, "clause", "embedding").select("result_id", F.size("embedding").alias("dimensions"))
+    return embed.embed(spread(rows), "clause", "embedding").select("result_id", F.posexplode("embedding").alias("k", "x")).select("result_id", "k", F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
 @query
 def pooled_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    """Masked mean of the label's token vectors and one masked token, normalised: the label's unit mean vector."""
-    e = table(spark, d, "embeddings")
-    groups = e.groupBy("label").agg(F.collect_list(F.col("embedding").cast("array<double>")).alias("v"))
-    pooled = embed.mean_pooled(F.concat("v", F.array(F.transform(F.get("v", F.lit(0)), lambda x: x * 9))), F.concat(F.transform("v", lambda _: F.lit(1)), F.array(F.lit(0))))
-    return groups.select("label", F.posexplode(pooled).alias("k", "x")).select("label", "k", F.round("x", 5).alias("x"))
+    """Each label's unit mean vector."""
+    return embed.pooled_by_key(table(spark, d, "embeddings"), ["label"], "embedding").select("label", "k", F.round("x", 5).alias("x"))
 
 
 # --- prompts -----------------------------------------------------------------------------------------------------------
@@ -343,5 +342,69 @@ def latency_classes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def review_json(spark: SparkSession, d: str) -> DataFrame:
-    """Review results as the JSON that is written out."""
-    return _reviews(spark, d).select("result_id", F.to_json(F.struct("clause", "response")).alias("json"))
+    """Review results as the JSON that is written out, read back field by field."""
+    rows = _reviews(spark, d).join(table(spark, d, "result").select("result_id", "review_time").distinct(), "result_id")
+    made = rows.select("result_id", F.to_json(F.struct("clause", "retrieved_knowledge", "prompt", "response", "time_seconds", F.col("review_time").alias("timestamp")), {"ignoreNullFields": "false"}).alias("json"))
+    fields = "clause string, retrieved_knowledge string, prompt string, response string, time_seconds double, timestamp string"
+    return made.select("result_id", F.from_json("json", fields).alias("r"), F.size(F.json_object_keys("json")).alias("n_fields")).select("result_id", "r.*", "n_fields")
+
+
+@query
+def cleaning_report_by_folder(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "extracted_docs").withColumn("folder", cleaning.folder_of("file_path"))
+    return cleaning.report(docs, ["folder"])
+
+
+@query
+def statistics_with_folders(spark: SparkSession, d: str) -> DataFrame:
+    """The overall report: counts of each document with the folder and title it is kept under."""
+    titles = table(spark, d, "extracted_docs").select("file_path", "contract_title")
+    return stats.overall_report(table(spark, d, "chunks"), folder_names(spark, d).drop("base").join(titles, "file_path"))
+
+
+@query
+def replaced_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows taken out and put in by the import of ``incremental_upsert``, by file."""
+    rows = _rows(spark, d)
+    known = rows.join(table(spark, d, "manifest").select("source_file").distinct(), "source_file", "left_semi")
+    return index.replaced_counts(known, rows, manifest_diff(spark, d))
+
+
+# --- files: written, found and read back -------------------------------------------------------------------------------
+
+
+def _round_trip(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/lexmill-{name}-{uuid.uuid4().hex}"
+
+
+@query
+def chunk_files_read_back(spark: SparkSession, d: str) -> DataFrame:
+    """Chunk files, one JSON array a document in a folder of its own, written, scanned and loaded."""
+    c = table(spark, d, "chunks").drop("chunk_id", "loaded_at", "import_time").withColumnRenamed("header", "clause_header").distinct()
+    c = c.withColumn("document", F.md5("file_path"))
+    path = _round_trip(spark, "chunks")
+    sinks.write_chunk_files(c, path, "document", chunks.METADATA_NAMES)
+    loaded = chunks.load_chunks(chunks.scan_chunk_files(spark, path, suffix=r"\.txt$"), NOW)
+    return loaded.select("document", "source", "file_path", "total_chunks", "total_chunks_in_doc", "source_stem", "contract_title", "clause_type", "clause_header", "contract_party", "clause_priority", "chunk_size", "chunk_preview").distinct()
+
+
+@query
+def word_files_read_back(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraph tables written as Word files, scanned and parsed: text, style, size, weight, slant and alignment."""
+    p = table(spark, d, "paragraphs").select("file_path", "pos", F.regexp_replace("text", r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "").alias("text"), "style", "font_size", "is_bold", "is_italic", "alignment")
+    path = _round_trip(spark, "word")
+    files = sinks.paragraph_documents(p).withColumn("file_path", F.concat(F.lit(f"{path}/"), F.md5("file_path"), F.lit(".docx")))
+    sinks.write_files(files)
+    read = docx.read_paragraphs(docx.scan(spark, path)).where("style <> 'Table'")
+    return read.select(F.substring_index(F.substring_index("file_path", "/", -1), ".", 1).alias("document"), "pos", "text", "style", "font_size", "is_bold", "is_italic", "alignment")
+
+
+@query
+def word_texts_read_back(spark: SparkSession, d: str) -> DataFrame:
+    """Cleaned contracts written as Word files and extracted again: number of paragraphs and text of each document."""
+    cleaned = cleaning.clean_contract(table(spark, d, "paragraphs")).withColumn("text", F.regexp_replace("text", r"[\x00-\x08\x0b\x0c\x0e-\x1f]", ""))
+    path = _round_trip(spark, "cleaned")
+    files = sinks.cleaned_documents(cleaned).withColumn("file_path", F.concat(F.lit(f"{path}/"), F.md5("file_path"), F.lit(".docx")))
+    sinks.write_files(files)
+    read = docx.extracted(docx.read_paragraphs(docx.scan(spark, path)))
+    return read.select(F.col("file_stem").alias("document"), "full_text", "total_paragraphs", "extraction_success")

@@ -15,9 +15,16 @@ FILE = ", ".join(f"{p.split()[0]}: {p.split()[1]}" for p in METADATA.split(", ")
 SCHEMA = f"array<struct<text: string, metadata: struct<{FILE}>>>"
 
 
-def scan_chunk_files(spark: SparkSession, *folders: str) -> DataFrame:
-    """``source_file, content_hash, file_size, content`` of the JSON files below the folders; missing folders are skipped."""
-    files = scan(spark, *folders, suffix=r"\.json$", ignore_case=False)
+METADATA_NAMES = [p.split()[0] for p in METADATA.split(", ")]
+KEPT = [p.split()[0] for p in METADATA.split(", ") if p.split()[0] != "chunk_index"]  # the place is that in the file
+
+
+def scan_chunk_files(spark: SparkSession, *folders: str, suffix: str = r"\.json$") -> DataFrame:
+    """``source_file, content_hash, file_size, content`` of the JSON files below the folders; missing folders are skipped.
+
+    Files that ``sinks.write_chunk_files`` wrote end in ``.txt``.
+    """
+    files = scan(spark, *folders, suffix=suffix, ignore_case=False)
     return files.select(F.col("path").alias("source_file"), F.md5("content").alias("content_hash"), F.col("length").alias("file_size"), F.col("content").cast("string").alias("content"))
 
 
@@ -27,5 +34,5 @@ def load_chunks(files: DataFrame, now: str) -> DataFrame:
     rows = parsed.select("source_file", F.size("c").alias("total_chunks"), F.posexplode("c").alias("chunk_index", "x")).where("x.text <> ''")
     return rows.select(
         F.md5(F.concat_ws("#", "source_file", "chunk_index")).alias("id"), F.col("x.text").alias("document"), "source_file", F.substring_index("source_file", "/", -1).alias("file_name"),
-        "chunk_index", "total_chunks", F.lit(now).alias("import_time"), *(F.col(f"x.metadata.{n}").alias(n) for n in ("source", "contract_title", "clause_type", "clause_header", "contract_party", "clause_priority")),
+        "chunk_index", "total_chunks", F.lit(now).alias("import_time"), *(F.col(f"x.metadata.{n}").alias(n) for n in KEPT),
     )

@@ -88,7 +88,8 @@ def _parse_all(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_paragraphs(files: DataFrame) -> DataFrame:
-    """The paragraph table of scanned files. Files are spread before parsing, since a listing packs many into one task."""
+    """The paragraph table of scanned files, parsed where they are read: the scan cuts the listing into tasks by size
+    (``spark.sql.files.maxPartitionBytes`` and ``openCostInBytes``), so contents are not exchanged before they are parsed."""
     return files.select("path", "content").mapInPandas(_parse_all, SCHEMA)
 
 

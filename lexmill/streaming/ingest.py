@@ -21,7 +21,7 @@ def ingest(rows: DataFrame, store: index.Store, checkpoint: str, now: str) -> St
         files = batch.groupBy("source_file").agg(F.max("content_hash").alias("content_hash"), F.sum(F.octet_length("document")).alias("file_size"))
         changes = index.classify(files, store.manifest())
         fresh = batch.drop("content_hash")
-        store.commit(index.upsert(store.index(), fresh, changes), index.new_manifest(store.manifest(), changes, fresh, F.lit(now)))
+        store.apply(fresh, changes, index.new_manifest(store.manifest(), changes, fresh, F.lit(now)))
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

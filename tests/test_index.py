@@ -57,3 +57,46 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([("3", "z", "f", "h2")], schema).write.mode("append").parquet(source)
     ingest.ingest(ingest.stream_chunks(spark, source, schema), store, str(tmp_path / "check"), "now").awaitTermination()
     assert sorted(r.id for r in store.index().collect()) == ["2", "3"]
+
+
+def test_commit_is_whole_or_not_at_all(spark, tmp_path):
+    """A job lost before its commit file leaves the state before; nothing of it is read, and its number is free again."""
+    schema = "id string, document string, source_file string"
+    rows = lambda *x: spark.createDataFrame(list(x), schema)
+    manifest = spark.createDataFrame([("f", "1", "t", 1, 1)], I.MANIFEST)
+    store = I.Store(spark, str(tmp_path / "s"))
+    store.commit(rows(("1", "x", "f"), ("2", "y", "g")), manifest)
+    text, store._text = store._text, None
+    try:
+        store.apply(rows(("3", "z", "f")), spark.createDataFrame([("f", "modified")], "source_file string, status string"), manifest)
+        raise AssertionError
+    except TypeError:
+        pass
+    store._text = text
+    assert store.current() == 1 and sorted(r.id for r in store.index().collect()) == ["1", "2"] and store.manifest().count() == 1
+    store.apply(rows(("4", "z", "f")), spark.createDataFrame([("f", "modified")], "source_file string, status string"), manifest)
+    assert store.current() == 2 and sorted(r.id for r in store.index().collect()) == ["2", "4"]
+    try:
+        store._text("commits/2", "{}", once=True)
+        raise AssertionError
+    except FileExistsError:
+        pass
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([(str(k), "t", f"f{k}") for k in range(200)], "id string, document string, source_file string")
+    empty = spark.createDataFrame([], I.MANIFEST)
+    store = I.Store(spark, str(tmp_path / "s"))
+    store.commit(rows, empty)
+    changes = spark.createDataFrame([("f7", "modified"), ("new", "new"), ("f9", "unchanged")], "source_file string, status string")
+    fresh = spark.createDataFrame([("x7", "t", "f7", 1), ("n", "t", "new", 2), ("no", "t", "f9", 3)], "id string, document string, source_file string, extra int")
+    assert {(r.source_file, r.deleted, r.added) for r in I.replaced_counts(store.index(), fresh, changes).collect()} == {("f7", 1, 1), ("new", 0, 1)}
+    store.apply(fresh, changes, empty)
+    written = [p.name for p in (tmp_path / "s" / "data" / "2").iterdir() if p.name.startswith("bucket=")]
+    assert 1 <= len(written) <= 2
+    want = {str(k) for k in range(200) if k != 7} | {"x7", "n"}
+    assert {r.id for r in store.index().collect()} == want and {r.extra for r in store.index().collect()} == {None, 1, 2}
+    store.vacuum()
+    assert {r.id for r in store.index().collect()} == want and not (tmp_path / "s" / "commits" / "1").exists()
+    store.apply(fresh.limit(0), spark.createDataFrame([("f1", "unchanged")], "source_file string, status string"), empty, purge_missing=True)
+    assert {r.id for r in store.index().collect()} == {"1"}

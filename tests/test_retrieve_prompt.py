@@ -25,8 +25,31 @@ def test_top_k(spark):
         assert [(d, i) for _, i, d in sorted(found)] == want
     one = retrieve.top_k(df, data[0][1], 4).collect()
     assert [r.vec_id for r in one] == [i for _, i, _ in sorted(got[0])]
-    blocks = retrieve.top_k_many(df, df.where("vec_id < 50"), 2, most=7)
-    assert blocks.select("query_id").distinct().count() == 50
+    blocks = retrieve.top_k_many(df, df.where("vec_id < 50"), 4, query_rows=7, corpus_rows=11)
+    whole = retrieve.top_k_many(df, df.where("vec_id < 50"), 4)
+    assert blocks.select("query_id").distinct().count() == 50 and sorted(map(tuple, blocks.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_smallest_keeps_ties():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        d = rng.integers(0, 4, (5, 40)).astype(float)
+        n = np.broadcast_to(rng.permutation(40), d.shape)
+        got = retrieve._smallest(d, n, 3)
+        for r in range(5):
+            assert list(zip(*(x[r] for x in got))) == sorted(zip(d[r], n[r]))[:3]
+
+
+def test_filters_keep_rows_without_the_field(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "n int, t string")
+    where = lambda c: [r.n for r in rows.where(retrieve.where_metadata(c)).orderBy("n").collect()]
+    assert where({"t": {"$ne": "a"}}) == [2] and where({"t": {"$nin": ["a"]}}) == [2] and where({"t": {"$ne": "b"}}) == [1, 2] and where({"t": {"$gt": ""}}) == [1]
+
+
+def test_pooled_embedder():
+    model = lambda ids, mask: np.stack([ids, ids * 0 + 1.0], -1) * 1.0
+    found = embed.PooledEmbedder(lambda t: [ord(c) - 96 for c in t], model, most=3)(["abc", "abcd", "", "b"])
+    assert np.allclose(found[0], found[1]) and np.allclose(found[3], np.array([2, 1]) / np.sqrt(5)) and not found[2].any()
 
 
 def test_filters(spark):
@@ -74,6 +97,8 @@ def test_statistics(spark):
     assert c["a"].missing == [2, 3] and not c["a"].is_complete and c["b"].is_complete
     assert [(r.f, r.clause_type) for r in stats.top_values(rows, "clause_type", ["f"], k=1).orderBy("f").collect()] == [("a", "y"), ("b", None)]
     assert stats.important(rows, "f").count() == 2
-    names = spark.createDataFrame([("1", "n"), ("2", "n"), ("3", "n_1"), ("4", "n")], "p string, b string")
-    found = [r.folder for r in stats.folder_names(names, "b", ["p"]).orderBy("p").collect()]
-    assert len(set(found)) == 4 and found[0] == "n" and found[2] == "n_1"
+    for bases, want in ((["n", "n", "n_1", "n"], ["n", "n_1", "n_1_1", "n_2"]), (["n_1", "n", "n", "n_1", "m", "m"], ["n_1", "n", "n_2", "n_1_1", "m", "m_1"]), (["a", "a", "a_1", "a_1"], ["a", "a_1", "a_1_1", "a_1_2"])):
+        names = spark.createDataFrame([(str(k), b) for k, b in enumerate(bases)], "p string, b string")
+        assert [r.folder for r in stats.folder_names(names, "b", ["p"]).orderBy("p").collect()] == want
+    report = {r.f: r.report for r in stats.report_lines(rows.withColumn("contract_party", F.lit("甲方")), "f").collect()}
+    assert "y: 2 (66.7%)" in report["a"] and "missing: 2, 3" in report["a"] and report["b"].endswith("complete")
