@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from lexmill.runtime import spread, table
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-BATCH_CHARS = 4_000_000  # characters encoded at once; bounds a worker's memory, not what is read
+BATCH_BYTES = 6_000_000  # UTF-8 bytes of text encoded at once; bounds a worker's memory, not what is read
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 _classes: np.ndarray | None = None
@@ -230,24 +231,37 @@ def encode_texts(texts: list[str], merges: MergeReplay, want_ids: bool = True) -
 
 
 def _batches(stream: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """The same rows, in batches of about ``limit`` bytes of text; a single longer text is a batch of its own."""
-    held, size = [], 0
+    """The same rows, in batches of at most ``limit`` bytes of text; a single longer text is a batch of its own."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def give() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
     for batch in stream:
-        for at in range(0, batch.num_rows, 256):
-            piece = batch.slice(at, 256)
-            held.append(piece)
-            size += piece.nbytes
-            if size >= limit:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        lens = pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        total = np.cumsum(lens)
+        at, gone = 0, 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(total, gone + limit - size, side="right"))
+            if to == at and not held:
+                to = at + 1
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                size += int(total[to - 1]) - gone
+                gone = int(total[to - 1])
+            if to < batch.num_rows:
+                yield give()
                 held, size = [], 0
+            at = to
     if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        yield give()
 
 
 def _encoder(name: str, folder: str, want_ids: bool):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = replay(name, folder)
-        for batch in _batches(stream, 3 * BATCH_CHARS):
+        for batch in _batches(stream, BATCH_BYTES):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             missing = np.array([t is None for t in texts], bool)
             ids, counts = encode_texts([t or "" for t in texts], merges, want_ids)

@@ -8,8 +8,9 @@ are taken while their prefix sum stays within the budget.
 
 The prefix sums never sort a whole source in one task: keys fall into a fixed number of cells of equal probability,
 tokens are summed by (source, cell) with map-side partial sums, the running sums are over cells (a bounded table), and
-only the one cell of each source that the budget cuts through is put in exact order. A prefix that a long document ends
-early is continued in further rounds over the documents that still fit.
+only the one cell of each source that the budget cuts through is put in exact order; the number of cells grows with the
+largest source. A prefix that a long document ends early is continued over the documents that still fit, until none does:
+what is left of a budget then is smaller than every document of the source that is not drawn yet.
 
 Defined cases: documents with null text or no tokens are never drawn; a null source is not listed and gives nothing; a
 listed source without documents, or with share 0 or null, or with less than one repeat, gives nothing and the others
@@ -24,14 +25,17 @@ from pyspark.sql import functions as F
 from lexmill.llm.bpe import TOKENIZERS, token_counts
 from lexmill.runtime import durable, spread, table
 
-CELLS = 4096  # key cells of a source; the cut cell holds about 1/4096 of its documents
+CELLS, CELL_ROWS = 4096, 1024  # key cells of a source at least, and about how many documents a cell may hold
 SEED = 20_240_229
 
 
 def quality_weight(text: Column) -> Column:
-    """Weight in [0.1, 1] from the text alone: its share of letters and digits."""
-    share = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")) / F.greatest(F.length(text), F.lit(1))
-    return F.greatest(F.lit(0.1), F.least(F.lit(1.0), share))
+    """Weight in [0.1, 1] from the text alone: the share of letters and digits, times the share of sentences that are not
+    said again in the text."""
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")) / F.greatest(F.length(text), F.lit(1))
+    sentences = F.filter(F.split(text, r"[\n。！？.!?]+"), lambda x: x != "")
+    fresh = F.size(F.array_distinct(sentences)) / F.greatest(F.size(sentences), F.lit(1))
+    return F.greatest(F.lit(0.1), F.least(F.lit(1.0), letters * fresh))
 
 
 def sized(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
@@ -75,23 +79,30 @@ def _draw(keyed: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.where("whole").select("doc_id", "source", "n_tokens").unionByName(cut.select("doc_id", "source", "n_tokens"))
 
 
-def mix(sizes: DataFrame, plan: DataFrame, seed: int = SEED, rounds: int = 3) -> DataFrame:
+def mix(sizes: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
     """``doc_id, source, n_tokens, uses`` of every document that the mixture uses at least once.
 
     A long document may end a prefix well before its budget; what is left is drawn again, from the documents that fit
-    into it and are not drawn yet, ``rounds`` times in all. The budget is never exceeded.
+    into it and are not drawn yet, until nothing fits. Each round is over far fewer documents than the one before. The
+    budget is never exceeded.
     """
+    most = plan.agg(F.max("docs")).first()[0] or 0  # one number
+    cells = max(CELLS, -(-most // CELL_ROWS))
     u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11) + 0.5) / float(1 << 53)
     keyed = sizes.withColumn("key", -F.log(u) / F.col("weight"))
-    keyed = keyed.withColumn("cell", F.least(F.lit(CELLS - 1), F.floor((1 - F.exp(F.col("key") * -0.7)) * CELLS)))
+    keyed = keyed.withColumn("cell", F.least(F.lit(cells - 1), F.floor((1 - F.exp(F.col("key") * -0.7)) * cells)))
     drawn = None
     rest = plan.select("source", "rest")
-    for turn in range(rounds):
-        left = keyed if drawn is None else keyed.join(drawn.select("doc_id"), "doc_id", "left_anti")
-        more = durable(_draw(left, rest), f"draw{turn}")
+    while True:
+        left = keyed if drawn is None else keyed.join(rest.where("rest > 0"), "source").where("n_tokens <= rest").drop("rest").join(drawn.select("doc_id"), "doc_id", "left_anti")
+        more = durable(_draw(left, rest), "draw")
+        used = more.groupBy("source").agg(F.sum("n_tokens").alias("used"))
+        before = rest
+        rest = durable(before.join(used, "source", "left").select("source", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("rest"), F.col("used").isNotNull().alias("drew")), "rest")
         drawn = more if drawn is None else drawn.unionByName(more)
-        used = drawn.groupBy("source").agg(F.sum("n_tokens").alias("used"))
-        rest = plan.join(used, "source", "left").select("source", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("rest"))
+        if not rest.where("drew AND rest > 0").limit(1).count():
+            break
+        rest = rest.withColumn("rest", F.when(F.col("drew"), F.col("rest")).otherwise(0)).drop("drew")  # a source that drew nothing is done
     once = drawn.select("doc_id", "source", "n_tokens", F.lit(1).cast("long").alias("uses"))
     epochs = sizes.join(plan.where("epochs > 0").select("source", "epochs"), "source").select("doc_id", "source", "n_tokens", F.col("epochs").cast("long").alias("uses"))
     return once.unionByName(epochs).groupBy("doc_id", "source", "n_tokens").agg(F.sum("uses").alias("uses"))
@@ -110,7 +121,7 @@ def shares(plan: DataFrame, mixture: DataFrame) -> DataFrame:
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     sizes = durable(sized(table(spark, sf_dir, "documents")), "sizes")
-    return sizes, budgets(sizes, table(spark, sf_dir, "mix_targets"))
+    return sizes, durable(budgets(sizes, table(spark, sf_dir, "mix_targets")), "budgets")
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,10 +34,10 @@ from lexmill.runtime import durable, parallelism, spread, table
 
 THRESHOLD = 0.6
 RUN = 4  # characters of a token
-BANDS, ROWS = 50, 4
+BANDS, ROWS = 80, 5
 WORDS = 8  # 64-bit words of a bitmap
 FAN = 8  # children of an inner node
-PART_BYTES, PARTS = 4_000_000, 64  # routes held at once by a task, about, and the parts there are at least
+PART_BYTES, PARTS = 32_000_000, 16  # routes held at once by a task, about, and the parts there are at least
 KEY = 6  # bytes of a route that travel; two routes that agree in them only cost a tree more work
 _FULL = np.uint32(0xFFFFFFFF)
 
@@ -312,7 +312,7 @@ def candidate_pairs(signed: DataFrame, slim: DataFrame, threshold: float = THRES
     """The leaves of all trees in blocks, and the pairs of handles (``class_a, class_b``) that the trees leave over."""
     rows = signed.count()
     parts = max(PARTS, -(-rows * BANDS * 16 // PART_BYTES))
-    packed = slim.select("text").mapInArrow(_router(parts), "part int, keys binary, ids binary, many binary").repartition(max(parallelism(signed.sparkSession), -(-parts // 4)), "part").sortWithinPartitions("part")
+    packed = slim.select("text").mapInArrow(_router(parts), "part int, keys binary, ids binary, many binary").repartition(max(parallelism(signed.sparkSession), parts), "part").sortWithinPartitions("part")
     nodes = durable(packed.mapInArrow(_nodes, "node long, class long, rows long"), "nodes")
     leaves = signed.drop("id", "form").dropDuplicates(["class"])
     blocks = block_pairs(nodes.join(leaves, "class"), "node", F.col("rows"), F.col("class"))

@@ -2,15 +2,16 @@
 
 A text is first cut into atomic segments at every natural boundary (blank line, line, sentence, part of a sentence,
 comma or blank). All adjacent segments wait in a heap, the weakest boundary first, and two are merged as long as the
-merged body and the overlap fit into the limit, so that the boundaries that stay are the strongest ones. A stretch
+merged body and the overlap (the first piece has none) fit into the limit, so that the boundaries that stay are the strongest ones. A stretch
 without any boundary is cut at the limit, but not before a combining sign. Each piece after the first begins with the end
 of its predecessor: the longest stretch of at most the overlap that starts at a natural boundary (after a cut without a
 boundary: exactly the overlap).
 
 The bodies of the pieces, laid end to end, are the text. Defined cases: a text within its limit and a null text give no
 pieces; a null type, or a type without a rule, has the rule ``*``; without any rule, or with a limit that is null or not
-positive, nothing is cut; an overlap that is null or negative is 0, one over half the limit is half the limit; of rows with
-one id the one loaded last counts; columns that are not named are not read; an empty table gives no rows.
+positive, nothing is cut; an overlap that is null, negative or not smaller than the limit (it would leave no room) is 0; of
+rows with one id the one loaded last counts, of those loaded at one time the longest; columns that are not named are not
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -56,20 +57,20 @@ def segments(text: str, limit: int) -> tuple[list[int], list[int]]:
 
 
 def _hard_cut(text: str, start: int, limit: int) -> int:
-    cut = start + limit
-    for back in range(min(16, limit - 1)):
-        at = cut - back
+    """The last place at most ``limit`` from ``start`` that is not inside a combining sequence; ``limit`` if all are."""
+    for at in range(start + limit, start, -1):
         if not (unicodedata.combining(text[at]) or unicodedata.category(text[at]) in ("Mn", "Me", "Cf") or text[at - 1] == "‍"):
             return at
-    return cut
+    return start + limit
 
 
 def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     """``(start, body start, end)`` of each piece; ``text[start:end]`` has at most ``limit`` characters."""
     if len(text) <= limit:
         return [(0, 0, len(text))]
-    overlap = max(0, min(overlap, limit // 2))
+    overlap = overlap if 0 < overlap < limit else 0
     room = limit - overlap
+    fits = lambda a, size: size <= (room if start[a] else limit)  # the first piece has no overlap before it
     ends, strength = segments(text, room)
     n = len(ends)
     start = [0, *ends[:-1]]
@@ -79,7 +80,7 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     heapq.heapify(heap)
     while heap:
         _, size, a, b = heapq.heappop(heap)
-        if not (alive[a] and b < n and alive[b] and nxt[a] == b and ends[b] - start[a] == size) or size > room:
+        if not (alive[a] and b < n and alive[b] and nxt[a] == b and ends[b] - start[a] == size) or not fits(a, size):
             continue
         ends[a], strength[a], alive[b], nxt[a] = ends[b], strength[b], False, nxt[b]
         if nxt[b] < n:
@@ -125,12 +126,16 @@ def split_oversized(chunks: DataFrame, rules: DataFrame) -> DataFrame:
     """The pieces of every chunk whose text is longer than the limit of its rule."""
     limits = rules.groupBy("clause_type").agg(F.max(F.struct(F.col("max_chars").cast("int").alias("m"), F.coalesce(F.col("overlap_chars").cast("int"), F.lit(0)).alias("o"))).alias("r"))
     own = limits.where("clause_type <> '*'").select(F.col("clause_type").alias("__type"), F.col("r").alias("__own"))
-    rest = limits.where("clause_type = '*'").select(F.lit(1).alias("__one"), F.col("r").alias("__rest"))
-    slim = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("text").cast("string").alias("text"), F.col("chunk_index").cast("int").alias("chunk_index"), "header", "clause_type", "loaded_at", F.lit(1).alias("__one"))
-    ruled = slim.where("chunk_id IS NOT NULL AND text IS NOT NULL").join(own, F.col("clause_type") == F.col("__type"), "left").join(rest, "__one", "left")
-    ruled = ruled.withColumn("__r", F.coalesce("__own", "__rest")).select("chunk_id", "text", "chunk_index", "header", F.col("__r.m").alias("max_chars"), F.greatest(F.col("__r.o"), F.lit(0)).alias("overlap_chars"), "loaded_at")
-    long = ruled.where("max_chars > 0 AND length(text) > max_chars")
-    once = long.groupBy("chunk_id").agg(F.max(F.struct("loaded_at", "text", "chunk_index", "header", "max_chars", "overlap_chars")).alias("r"))
+    rest = limits.where("clause_type = '*'").select(F.col("clause_type").alias("__any"), F.col("r").alias("__rest"))
+    slim = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("text").cast("string").alias("text"), F.col("chunk_index").cast("int").alias("chunk_index"), "header", "clause_type", "loaded_at")
+    slim = slim.where("chunk_id IS NOT NULL").withColumn("size", F.coalesce(F.length("text"), F.lit(-1)))
+    # a narrow pass finds the delivery that counts; only long texts are exchanged
+    last = slim.groupBy("chunk_id").agg(F.max(F.struct("loaded_at", "size")).alias("last"))
+    ruled = slim.where("text IS NOT NULL").join(own, F.col("clause_type") == F.col("__type"), "left")
+    ruled = ruled.join(rest, F.when(F.col("__own").isNull(), "*") == F.col("__any"), "left").withColumn("__r", F.coalesce("__own", "__rest"))
+    long = ruled.where("__r.m > 0 AND size > __r.m").select("chunk_id", "loaded_at", "size", "text", "chunk_index", "header", F.col("__r.m").alias("max_chars"), F.greatest(F.col("__r.o"), F.lit(0)).alias("overlap_chars"))
+    once = long.groupBy("chunk_id").agg(F.max(F.struct("loaded_at", "size", "text", "chunk_index", "header", "max_chars", "overlap_chars")).alias("r"))
+    once = once.join(last, "chunk_id").where(F.col("last").eqNullSafe(F.struct("r.loaded_at", "r.size")))
     return once.select("chunk_id", "r.text", "r.chunk_index", "r.header", "r.max_chars", "r.overlap_chars").mapInArrow(_cut, _SCHEMA)
 
 
