@@ -63,12 +63,10 @@ def budgets(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def _draw(keyed: DataFrame, plan: DataFrame) -> DataFrame:
-    """``doc_id, source, n_tokens``: of each source the documents of smallest key whose running sum stays within ``rest``.
-
-    Documents larger than the whole rest are passed over.
-    """
-    fits = keyed.join(plan.where("rest > 0").select("source", "rest"), "source").where("n_tokens <= rest")
+def _draw(keyed: DataFrame, drawn: DataFrame, budget: DataFrame) -> DataFrame:
+    """``doc_id, source, n_tokens``: of each source the documents of smallest key, not drawn yet, whose running sum stays
+    within ``rest``. Documents larger than the whole rest are passed over."""
+    fits = keyed.join(F.broadcast(budget), "source").where("n_tokens <= rest").join(drawn.select("doc_id"), "doc_id", "left_anti")  # budget: a row a listed source
     cells = fits.groupBy("source", "cell").agg(F.sum("n_tokens").alias("tokens"), F.max("rest").alias("limit"))
     upto = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("before", F.coalesce(F.sum("tokens").over(upto), F.lit(0))).where("before < limit")
@@ -86,23 +84,21 @@ def mix(sizes: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
     into it and are not drawn yet, until nothing fits. Each round is over far fewer documents than the one before. The
     budget is never exceeded.
     """
+    spark = sizes.sparkSession
     most = plan.agg(F.max("docs")).first()[0] or 0  # one number
     cells = max(CELLS, -(-most // CELL_ROWS))
     u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11) + 0.5) / float(1 << 53)
     keyed = sizes.withColumn("key", -F.log(u) / F.col("weight"))
     keyed = keyed.withColumn("cell", F.least(F.lit(cells - 1), F.floor((1 - F.exp(F.col("key") * -0.7)) * cells)))
-    drawn = None
-    rest = plan.select("source", "rest")
-    while True:
-        left = keyed if drawn is None else keyed.join(rest.where("rest > 0"), "source").where("n_tokens <= rest").drop("rest").join(drawn.select("doc_id"), "doc_id", "left_anti")
-        more = durable(_draw(left, rest), "draw")
-        used = more.groupBy("source").agg(F.sum("n_tokens").alias("used"))
-        before = rest
-        rest = durable(before.join(used, "source", "left").select("source", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("rest"), F.col("used").isNotNull().alias("drew")), "rest")
-        drawn = more if drawn is None else drawn.unionByName(more)
-        if not rest.where("drew AND rest > 0").limit(1).count():
-            break
-        rest = rest.withColumn("rest", F.when(F.col("drew"), F.col("rest")).otherwise(0)).drop("drew")  # a source that drew nothing is done
+    keyed = durable(keyed, "keyed")
+    drawn = spark.createDataFrame([], "doc_id long, source string, n_tokens long")
+    rest = {r.source: r.rest for r in plan.where("rest > 0").select("source", "rest").collect()}  # a number a listed source
+    while rest:
+        budget = spark.createDataFrame(list(rest.items()), "source string, rest long")
+        more = durable(_draw(keyed, drawn, budget), "draw")
+        used = {r.source: r.used for r in more.groupBy("source").agg(F.sum("n_tokens").alias("used")).collect()}
+        drawn = drawn.unionByName(more)
+        rest = {s: rest[s] - n for s, n in used.items() if rest[s] > n}  # a source that drew nothing is done
     once = drawn.select("doc_id", "source", "n_tokens", F.lit(1).cast("long").alias("uses"))
     epochs = sizes.join(plan.where("epochs > 0").select("source", "epochs"), "source").select("doc_id", "source", "n_tokens", F.col("epochs").cast("long").alias("uses"))
     return once.unionByName(epochs).groupBy("doc_id", "source", "n_tokens").agg(F.sum("uses").alias("uses"))

@@ -14,7 +14,7 @@ def test_pieces():
         limit, overlap = rng.randint(5, 80), rng.randint(0, 60)
         found = splitting.pieces(text, limit, overlap)
         assert "".join(text[b:e] for _, b, e in found) == text
-        assert all(e - a <= limit and b - a <= min(overlap, limit // 2) for a, b, e in found)
+        assert all(e - a <= limit and b - a <= (overlap if overlap < limit else 0) for a, b, e in found)
         assert all(e > b for _, b, e in found) or not text
 
 
@@ -23,6 +23,7 @@ def test_natural_boundaries():
     found = [text[b:e] for _, b, e in splitting.pieces(text, 20, 0)]
     assert found == ["第一句话在这里。第二句话也在这里。\n", "第三句话另起一行。第四句话结束。"]
     assert [(a, b, e) for a, b, e in splitting.pieces("x" * 25, 10, 4)] == [(0, 0, 6), (2, 6, 12), (8, 12, 18), (14, 18, 24), (20, 24, 25)]
+    assert [(a, b, e) for a, b, e in splitting.pieces("x" + "́" * 30 + "y" * 5, 34, 0)] == [(0, 0, 34), (34, 34, 36)]
 
 
 def test_split_table(spark):
@@ -32,6 +33,8 @@ def test_split_table(spark):
     found = splitting.split_oversized(chunks, rules).collect()
     assert {r.chunk_id for r in found} == {1, 3, 6} and all(len(r.piece) <= r.max_chars for r in found)
     assert [r.header for r in found if r.chunk_id == 1][0] == "头" and sum(r.end - r.body_start for r in found if r.chunk_id == 6) == 100_000
+    later = chunks.where("chunk_id = 1").limit(1).select("chunk_id", F.lit("短").alias("text"), "chunk_index", "header", "clause_type", F.current_timestamp().alias("loaded_at"), "piece")
+    assert {r.chunk_id for r in splitting.split_oversized(chunks.unionByName(later), rules).collect()} == {3, 6}  # delivered again, short
     assert splitting.split_oversized(chunks.where("false"), rules).count() == 0
     assert splitting.split_oversized(chunks, rules.where("false")).count() == 0
 
