@@ -60,6 +60,9 @@ def preview(c: Column | str, size: int) -> Column:
     return F.concat(F.replace(F.substring(c, 1, size), F.lit("\n"), F.lit(" ")), F.when(F.length(c) > size, "...").otherwise(""))
 
 
+MARK = "\ufdd0"  # a noncharacter, which no text may hold; it marks places between two steps and never stays
+
+
 # --- standardisers -----------------------------------------------------------------------------------------------------
 
 
@@ -117,7 +120,7 @@ def law_numbers(c: Column | str) -> Column:
 
 def law_references(c: Column | str) -> Column:
     """Citations in tight form; a Chinese article number up to twenty becomes a number."""
-    name, mark = rf"《[{SPACE}]*([^》]+)[{SPACE}]*》[{SPACE}]*第[{SPACE}]*", "\x01"
+    name, mark = rf"《[{SPACE}]*([^》]+)[{SPACE}]*》[{SPACE}]*第[{SPACE}]*", MARK
     c = F.regexp_replace(col(c), rf"{name}({DIGIT}+)[{SPACE}]*条", "《$1》第$2条")
     c = F.regexp_replace(c, rf"{name}([{NUMERALS}]+)[{SPACE}]*条", f"{mark}《$1》第$2条")
     words = [*NUMERALS, *("十" + n for n in NUMERALS[:9]), "二十"]

@@ -1,4 +1,4 @@
-"""Segmentation of statutes and contracts into typed clauses with metadata. Built-in expressions only; no shuffle.
+"""Segmentation of statutes and contracts into typed clauses with metadata. No shuffle; built-in expressions but for one step.
 
 A pattern takes the rest of its line, so it starts at most once in a line. Statutes are split at marks put before the
 starts. In contracts a start near an accepted one is dropped, by priority, so their starts are folded in order with their
@@ -7,8 +7,12 @@ offsets, and the text between accepted starts is exploded with its place.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from lexmill.functions import text as T
 from lexmill.runtime import once, spread
@@ -68,10 +72,10 @@ def law_slices(text: Column) -> Column:
     A mark is put before the first occurrence of each pattern in each line and the text is split at the marks, so the
     work is one pass over the text for each pattern, however many clauses there are.
     """
-    marked = F.translate(text, "\x01", "")
+    marked = text
     for _, pattern in LAW_STARTS:
-        marked = F.regexp_replace(marked, rf"(?:{pattern})[^\n]*", "\x01$0")
-    return F.transform(F.split(marked, "\x01", -1), T.strip)
+        marked = F.regexp_replace(marked, rf"(?:{pattern})[^\n]*", f"{T.MARK}$0")
+    return F.transform(F.split(marked, T.MARK, -1), T.strip)
 
 
 def law_type(c: Column | str) -> Column:
@@ -111,18 +115,40 @@ def _candidates(text: Column) -> Column:
     by_line = F.flatten(F.transform(_lines(text, any_start), of))
     # amounts with a currency sign may go on in the next line, so they are found in the whole text
     money = CONTRACT_STARTS[23][1]
-    cut = F.split(F.regexp_replace(text, rf"(?:{money})[^\n]*", "\x01$0"), "\x01", -1)
+    cut = F.split(F.regexp_replace(text, rf"(?:{money})[^\n]*", f"{T.MARK}$0"), T.MARK, -1)
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<p:int,s:int>>").alias("out"))
     step = lambda acc, x: F.struct((acc.at + F.length(x)).alias("at"), F.concat(acc.out, F.array(F.struct(F.lit(24).alias("p"), (acc.at + F.length(x)).cast("int").alias("s")))).alias("out"))
     amounts = F.when(F.contains(text, F.lit("¥")), F.aggregate(F.slice(cut, 1, F.size(cut) - 1), empty, step, lambda acc: acc.out))
     return F.array_sort(F.concat(by_line, F.coalesce(amounts, F.array().cast("array<struct<p:int,s:int>>"))))
 
 
+_STARTS = types.ArrayType(types.StructType([types.StructField("s", types.IntegerType()), types.StructField("p", types.IntegerType())]))
+
+
+@F.pandas_udf(_STARTS)
+def _accepted(found: pd.Series) -> pd.Series:
+    """Of ``(p, s)`` in order, those not within ``NEAR`` of one taken before; each is looked up among its two neighbours only."""
+
+    def take(rows) -> list[tuple[int, int]]:  # noqa: ANN001
+        at: list[int] = []
+        kept = []
+        for r in rows:
+            k = bisect_left(at, r["s"])
+            if (k < len(at) and at[k] - r["s"] < NEAR) or (k and r["s"] - at[k - 1] < NEAR):
+                continue
+            at.insert(k, r["s"])
+            kept.append({"s": r["s"], "p": r["p"]})
+        return sorted(kept, key=lambda r: r["s"])
+
+    return found.map(take)
+
+
 def contract_positions(text: Column) -> Column:
-    """Accepted starts in order of offset, ``array<struct<s, p>>``: a candidate within ``NEAR`` of an accepted one is dropped."""
-    none = F.array().cast("array<struct<s:int,p:int>>")
-    take = lambda acc, v: F.when(F.exists(acc, lambda a: F.abs(a.s - v.s) < NEAR), acc).otherwise(F.concat(acc, F.array(F.struct(v.s.alias("s"), v.p.alias("p")))))
-    return F.array_sort(F.aggregate(_candidates(text), none, take))
+    """Accepted starts in order of offset, ``array<struct<s, p>>``: a candidate within ``NEAR`` of an accepted one is dropped.
+
+    Whether a start is accepted hangs on all those before it, so this step alone runs in Arrow batches.
+    """
+    return _accepted(_candidates(text))
 
 
 def contract_type(c: Column | str, line: Column | None = None) -> Column:
@@ -157,8 +183,7 @@ def split_paragraphs(text: Column) -> Column:
 
 def split_contract(docs: DataFrame, min_length: int = CONTRACT_MIN) -> DataFrame:
     """Clauses of contracts with type, header, party and priority; documents without a clause start by paragraphs."""
-    t = F.translate("full_text", "\x01", "")
-    docs = docs.where("extraction_success AND full_text IS NOT NULL").select("file_path", F.col("file_name").alias("source"), F.col("file_stem").alias("source_stem"), "contract_title", t.alias("t"))
+    docs = docs.where("extraction_success AND full_text IS NOT NULL").select("file_path", F.col("file_name").alias("source"), F.col("file_stem").alias("source_stem"), "contract_title", F.col("full_text").alias("t"))
     docs = spread(docs)
     docs = once(docs, found=contract_positions(F.col("t")))
     cut = lambda s, e: T.strip(F.substring(F.col("t"), s + 1, e - s))

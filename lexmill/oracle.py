@@ -83,7 +83,7 @@ def _numbers(c: str) -> str:
 
 
 def _refs(c: str) -> str:
-    name, mark = rf"《[{_SP}]*([^》]+)[{_SP}]*》[{_SP}]*第[{_SP}]*", "\x01"
+    name, mark = rf"《[{_SP}]*([^》]+)[{_SP}]*》[{_SP}]*第[{_SP}]*", "\ufdd0"
     c = _sub(c, (rf"{name}({_D}+)[{_SP}]*条", r"《\1》第\2条"), (rf"{name}([{T.NUMERALS}]+)[{_SP}]*条", rf"{mark}《\1》第\2条"))
     c = _sub(c, *((rf"{mark}(《[^》]+》)第{w}条", rf"\1第{v}条") for v, w in enumerate(_WORDS20, 1)))
     return _replace(c, (mark, ""))
