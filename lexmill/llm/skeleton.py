@@ -23,13 +23,20 @@ from pyspark.sql import types as T
 from lexmill.llm.blocks import expand_pairs, pairs_within
 from lexmill.runtime import durable, table
 
-# Letters of other scripts and signs that are drawn as the second sign of the pair.
+# Letters that are drawn as the ASCII letter after them, as the Unicode confusables have it (one letter for one
+# letter; of I, l and 1, which have one prototype there, the letter of the same case), by script, without rare phonetic signs and
+# forms that differ in upright type; then dashes and kana.
 LOOKALIKES = dict(
     p.split("=")
     for p in (
-        "Α=A Β=B Ε=E Ζ=Z Η=H Ι=I Κ=K Μ=M Ν=N Ο=O Ρ=P Τ=T Υ=Y Χ=X ν=v ο=o ϲ=c ϳ=j Ϲ=C Ϳ=J "
-        "А=A В=B Е=E Ѕ=S І=I Ј=J К=K М=M Н=H О=O Р=P С=C Т=T У=Y Х=X Ү=Y Ԁ=D Ԍ=G Ԛ=Q Ԝ=W Ӏ=I Ѵ=V "
-        "а=a с=c ԁ=d е=e һ=h і=i ј=j ӏ=l о=o р=p ԛ=q ѕ=s у=y ү=y х=x ѵ=v ԝ=w ɡ=g ɑ=a "
+        "ı=i Ʀ=R ɑ=a ɡ=g ɣ=y ɩ=i ɪ=i ʋ=u ʏ=y ᴄ=c ᴏ=o ᴑ=o ᴜ=u ᴠ=v ᴡ=w ᴢ=z ꜱ=s Ꞙ=F ꞙ=f Ʝ=J Ꭓ=X "
+        "Ϳ=J Α=A Β=B Ε=E Ζ=Z Η=H Ι=I Κ=K Μ=M Ν=N Ο=O Ρ=P Τ=T Υ=Y Χ=X α=a γ=y ι=i ν=v ο=o ρ=p σ=o υ=u Ϝ=F ϳ=j Ϻ=M ϲ=c Ϲ=C "
+        "Ѕ=S І=I Ј=J А=A В=B Е=E К=K М=M Н=H О=O Р=P С=C Т=T У=Y Х=X а=a е=e о=o р=p с=c у=y х=x ѕ=s і=i ј=j ѡ=w Ѵ=V ѵ=v Ү=Y ү=y һ=h ҽ=e Ӏ=I ӏ=l ԁ=d Ԍ=G ԛ=q Ԝ=W ԝ=w "
+        "ꙇ=i Ԁ=D Ԛ=Q "
+        "Ս=U Տ=S Օ=O ա=w գ=q զ=q հ=h ո=n ռ=n ս=u ց=g ք=f օ=o "
+        "Ꭰ=D Ꭱ=R Ꭲ=T Ꭹ=Y Ꭺ=A Ꭻ=J Ꭼ=E Ꮃ=W Ꮇ=M Ꮋ=H Ꮍ=Y Ꮐ=G Ꮓ=Z Ꮢ=R Ꮤ=W Ꮥ=S Ꮩ=V Ꮪ=S Ꮮ=L Ꮯ=C Ꮲ=P Ꮶ=K Ᏻ=G Ᏼ=B ꭵ=i ꮁ=r ꮃ=w ꮓ=z ꮩ=v ꮪ=s ꮯ=c "
+        "Ⲏ=H Ⲓ=I Ⲕ=K Ⲙ=M Ⲛ=N Ⲟ=O ⲟ=o Ⲣ=P ⲣ=p Ⲥ=C ⲥ=c Ⲧ=T Ⲩ=Y Ⲭ=X Ⳑ=L "
+        "ꓐ=B ꓑ=P ꓒ=d ꓓ=D ꓔ=T ꓖ=G ꓗ=K ꓙ=J ꓚ=C ꓜ=Z ꓝ=F ꓟ=M ꓠ=N ꓡ=L ꓢ=S ꓣ=R ꓦ=V ꓧ=H ꓪ=W ꓫ=X ꓬ=Y ꓮ=A ꓰ=E ꓲ=I ꓳ=O ꓴ=U "
         "‐=- ‑=- −=- ⁃=- ⺀=冫 エ=工 ロ=口 カ=力 ニ=二 ハ=八 タ=夕 ト=卜"
     ).split()
 )
