@@ -7,8 +7,9 @@ long common start and the spikes of response lengths. The other kinds are rules
 * ``copies_question``: most of the response's runs of characters stand in the prompt or the clause, with no section of an
   answer of its own;
 * ``refusal``: no section of an answer, no copy, and words that decline;
-* ``wrong_language``: outside quotations, the letters and function words are not those of the language that the prompt
-  asks for (a prompt that names none asks for the language it is written in).
+* ``wrong_language``: outside quotations, the script or, in Latin letters, the runs of letters are not those of the
+  language that the prompt asks for (a prompt that names none asks for the language it is written in); what English looks
+  like is learned from the documents labelled so.
 
 A pair can have several defects and gives one row for each. Defined cases: of rows with one id the one loaded last
 counts; a null prompt asks for nothing, so neither copy nor wrong language can be told; an empty table gives no rows.
@@ -16,7 +17,9 @@ counts; a null prompt asks for nothing, so neither copy nor wrong language can b
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,21 +37,49 @@ DECLINES = re.compile(
     re.IGNORECASE,
 )
 
-# Frequent function words, by language.
-WORDS = {
-    "en": "the of and to in is that for on with by be shall not this an under which are from it as or at may upon",
-    "fr": "le la les de des du et en est que pour dans un une ne pas ni sur au aux avec par ou ce cette n'est",
-    "de": "der die das und ist nicht ein eine wie nach den dem zu mit von für auf im werden nur lässt des sich",
-    "es": "el los las de del y en es que para un una no por con se su al como o esta",
-    "pt": "o os as de do da e em é que para um uma não por com se sua ao como ou esta",
-    "it": "il lo gli di del della e in è che per un una non con si sua al come o questa",
-}
-WORDS = {k: set(v.split()) for k, v in WORDS.items()}
+SAMPLE = 2_000  # labelled English documents that the language model is fitted on, at most
+STRANGE = 0.43  # how far from usual English to text of unseen trigrams a text may lie and still pass as English
 _QUOTED = re.compile(r"“[^”]*”|\"[^\"\n]*\"|「[^」]*」|『[^』]*』|《[^》]*》|`[^`]*`")
 _KANA, _HANGUL, _HAN = re.compile(r"[぀-ゟ゠-ヿ]"), re.compile(r"[가-힣ᄀ-ᇿ]"), re.compile(r"[㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]")
 _OTHER = re.compile(r"[Ѐ-ӿ֐-ۿऀ-๿]")
 _WORD = re.compile(r"[A-Za-zÀ-ɏḀ-ỿ']+")
-_VIET = re.compile(r"[ăđĩũơưẠ-ỹ]", re.IGNORECASE)
+_FOREIGN = re.compile(r"[^a-z]")
+
+
+def trigrams(text: str) -> list[str]:
+    """The runs of three letters of the Latin words of a text, with word borders; letters beyond a-z are one sign."""
+    words = (f" {_FOREIGN.sub('*', w.lower().replace(chr(39), ''))} " for w in _WORD.findall(text))
+    return [w[k : k + 3] for w in words for k in range(len(w) - 2)]
+
+
+class English:
+    """Letter trigrams of English; at most 28 ** 3 numbers, whatever the corpus."""
+
+    def __init__(self, counts: dict[str, int]):
+        total = sum(counts.values()) + 0.5 * 28**3
+        self.floor = math.log(0.5 / total)
+        self.log = {g: math.log((n + 0.5) / total) for g, n in counts.items()}
+        usual = sum(n * self.log[g] for g, n in counts.items()) / max(sum(counts.values()), 1)
+        self.least = usual + STRANGE * (self.floor - usual)
+
+    def speaks(self, text: str) -> bool:
+        """Is the text as likely as English text may be."""
+        found = trigrams(text)
+        return sum(self.log.get(g, self.floor) for g in found) >= self.least * len(found)
+
+
+def _count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in stream:
+        counts = Counter(g for text in batch.column(0).to_pylist() for g in trigrams(text))
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["gram", "n"])
+
+
+def english(documents: DataFrame, most: int = SAMPLE) -> English | None:
+    """The model of up to ``most`` documents labelled English, chosen by a hash of their id; None without any."""
+    some = documents.where("lang = 'en' AND text IS NOT NULL").select(F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h").limit(most)
+    counts = some.select("text").mapInArrow(_count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = {r.gram: r.n for r in counts.collect()}  # at most 28 ** 3 rows
+    return English(found) if found else None
 
 
 def asked_language(prompt: str | None) -> str | None:
@@ -62,29 +93,26 @@ def asked_language(prompt: str | None) -> str | None:
     return "zh" if 2 * han >= latin else "en"
 
 
-def language(text: str) -> str | None:
-    """``zh``, ``en``, ``other`` or None (too little text to tell) of a text without its quotations."""
+def language(text: str, model: English | None = None) -> str | None:
+    """``zh``, ``en``, ``other`` or None (too little text to tell) of a text without its quotations.
+
+    Scripts tell Chinese from others; text in Latin letters is English if the model finds it likely, or without a model.
+    """
     free = _QUOTED.sub(" ", text)
     if len(_WORD.findall(free)) + len(_HAN.findall(free)) + len(_KANA.findall(free)) + len(_HANGUL.findall(free)) < 4:
         free = text
     han, kana, hangul, far = (len(p.findall(free)) for p in (_HAN, _KANA, _HANGUL, _OTHER))
-    words = [w.lower() for w in _WORD.findall(free)]
-    if kana >= 3 and kana * 8 >= han or hangul >= 3 and hangul * 3 >= han or far > han + len(words):
+    words = len(_WORD.findall(free))
+    if kana >= 3 and kana * 8 >= han or hangul >= 3 and hangul * 3 >= han or far > han + words:
         return "other"
-    if han >= max(2, len(words)):
+    if han >= max(2, words):
         return "zh"
-    if len(words) < 3:
+    if words < 3:
         return None
-    if 6 * len(_VIET.findall(free)) >= len(words) and han < len(words):
-        return "other"
-    hits = {k: sum(w in v for w in words) for k, v in WORDS.items()}
-    best = max(hits.values())
-    if best == 0:
-        return None
-    return "en" if hits["en"] == best else "other"
+    return "en" if model is None or model.speaks(free) else "other"
 
 
-def defects(prompt: str | None, clause: str | None, response: str | None) -> list[str]:
+def defects(prompt: str | None, clause: str | None, response: str | None, model: English | None = None) -> list[str]:
     """The defects that the pair itself shows, without ``truncated``."""
     form = compact(response or "").lower()
     if form in PLACEHOLDERS:
@@ -94,37 +122,40 @@ def defects(prompt: str | None, clause: str | None, response: str | None) -> lis
     copied = bool(prompt or clause) and repeats(response, f"{prompt or ''}\n{clause or ''}")
     if copied:
         return ["copies_question"]
-    if not answered and DECLINES.search(response) and language(response) in ("zh", "en", None):
+    asked, spoken = asked_language(prompt), language(response, model)
+    if not answered and DECLINES.search(response) and spoken in ("zh", "en", None):
         found.append("refusal")
-    asked = asked_language(prompt)
-    spoken = language(response)
     if asked and spoken and asked != spoken:
         found.append("wrong_language")
     return found
 
 
-def _judge(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in stream:
-        found = [defects(*pair) for pair in zip(*(batch.column(c).to_pylist() for c in ("prompt", "clause", "response")))]
-        at = [k for k, names in enumerate(found) for _ in names]
-        yield pa.RecordBatch.from_arrays([batch.column("result_id").take(pa.array(at, pa.int64())), pa.array([n for names in found for n in names], pa.string())], ["result_id", "defect"])
+def _judge(model: English | None):
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            found = [defects(*pair, model) for pair in zip(*(batch.column(c).to_pylist() for c in ("prompt", "clause", "response")))]
+            at = [k for k, names in enumerate(found) for _ in names]
+            yield pa.RecordBatch.from_arrays([batch.column("result_id").take(pa.array(at, pa.int64())), pa.array([n for names in found for n in names], pa.string())], ["result_id", "defect"])
+
+    return run
 
 
-def defective_pairs(rows: DataFrame) -> DataFrame:
-    """``result_id, defect`` of every defective pair, one row a defect."""
+def defective_pairs(rows: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """``result_id, defect`` of every defective pair, one row a defect. ``documents`` (``doc_id, text, lang``) is what the
+    language model is fitted on; without it all text in Latin letters passes as English."""
     slim = latest(rows).select("result_id", "prompt", "clause", "response")
-    by_rule = slim.mapInArrow(_judge, "result_id long, defect string")
+    by_rule = slim.mapInArrow(_judge(None if documents is None else english(documents)), "result_id long, defect string")
     cut = cut_values(rows).where("is_cut AND field_name = 'response'").select("result_id", F.lit("truncated").alias("defect"))
     return by_rule.unionByName(cut).distinct()
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return defective_pairs(table(spark, sf_dir, "result"))
+    return defective_pairs(table(spark, sf_dir, "result"), table(spark, sf_dir, "documents"))
 
 
 def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defects of each source."""
     rows = table(spark, sf_dir, "result")
-    found = durable(defective_pairs(rows), "defects")
+    found = durable(defective_pairs(rows, table(spark, sf_dir, "documents")), "defects")
     named = latest(rows).select("result_id", "source").join(found, "result_id", "left")
     return named.groupBy("source", "defect").agg(F.countDistinct("result_id").alias("n_pairs"))

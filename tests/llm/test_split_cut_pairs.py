@@ -88,7 +88,7 @@ def test_cut_values_and_pairs(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA + ", value string")
     found = {(r.result_id, r.field_name) for r in truncation.cut_values(df).where("is_cut").collect()}
     assert found == cut, [(i, f, rows[i]) for i, f in sorted(found ^ cut)]
-    got = {(r.result_id, r.defect) for r in pairs.defective_pairs(df).collect()}
+    got = {(r.result_id, r.defect) for r in pairs.defective_pairs(df, spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).collect()}
     assert got == {(i, d) for i, d in defect.items()} | {(i, "truncated") for i, f in cut if f == "response"}
     assert truncation.cut_values(df.where("false")).count() == 0 and pairs.defective_pairs(df.where("false")).count() == 0
 
@@ -151,9 +151,13 @@ def test_sorted_neighbours(spark):
     assert {bytes(r.key) for r in found.collect()} == expected and len(expected) == 4
 
 
-def test_languages():
+def test_languages(spark):
     assert pairs.asked_language("x 请用中文作答。") == "zh" and pairs.asked_language("Answer in English.") == "en" and pairs.asked_language(None) is None
-    assert pairs.language("条款原文“Each Guarantor shall prepay the loan at once”未区分担保与保证。") == "zh"
-    assert pairs.language("The clause is not addressed and the shortfall is swept.") == "en"
-    assert pairs.language("Die Klausel lässt offen, wie die Zinsen berechnet werden") == "other"
-    assert pairs.language("Điều khoản chưa nêu cách tính lãi và phạm vi bảo đảm") == "other"
+    model = pairs.english(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    assert len(model.log) <= 28**3 and pairs.english(spark.createDataFrame([], "doc_id long, text string, lang string")) is None
+    assert pairs.language("条款原文“Each Guarantor shall prepay the loan at once”未区分担保与保证。", model) == "zh"
+    assert pairs.language("The clause is not addressed and the shortfall is swept.", model) == "en"
+    assert pairs.language("I am afraid that this request goes beyond what I may answer.", model) == "en"
+    for text in ("Risikostufe: hoch. Die Klausel lässt offen, wie die Zinsen berechnet werden, und die Sicherheit deckt nur einen Teil", "Điều khoản chưa nêu cách tính lãi và phạm vi bảo đảm", "La cláusula no precisa cómo se calculan los intereses ni el plazo de pago", "Het beding bepaalt niet hoe de rente wordt berekend en welke zekerheid geldt", "Umowa nie określa sposobu obliczania odsetek ani zakresu zabezpieczenia"):
+        assert pairs.language(text, model) == "other", text
+    assert pairs.language("Die Klausel ist offen") == "en" and pairs.language("ab") is None
