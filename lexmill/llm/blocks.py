@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.runtime import parallelism
+from lexmill.runtime import durable, parallelism
 
 BLOCK = 2048  # rows of a block, about; a task holds two
 
@@ -45,7 +45,7 @@ def pairs_within(members: DataFrame, keys: list[str], identity: str, n: str, blo
 
     What is exchanged are arrays of members, and each pair of arrays of a hot group is a row of its own.
     """
-    slices = packed(members, keys, identity, n, block)
+    slices = durable(packed(members, keys, identity, n, block), "packed")  # read twice
     alone = slices.where("__of = 1").select(F.col("__ids").alias("a"), F.col("__ids").alias("b"), F.lit(True).alias("same"))
     many = slices.where("__of > 1")
     one = many.select(*keys, "__slice", F.col("__ids").alias("a"), F.explode(F.sequence("__slice", F.col("__of") - 1)).alias("__other"))
@@ -60,7 +60,7 @@ def expand_pairs(pairs: DataFrame, members: DataFrame, block: int = BLOCK) -> Da
     The joins carry arrays of members, so a hot class travels as a few rows, and each pair of arrays is spelled out on its
     own.
     """
-    slices = packed(members, ["class"], "id", "n", block)
+    slices = durable(packed(members, ["class"], "id", "n", block), "packed")  # read twice
     one = slices.select(F.col("class").alias("class_a"), F.col("__slice").alias("__s"), F.col("__ids").alias("a"))
     two = slices.select(F.col("class").alias("class_b"), F.col("__slice").alias("__t"), F.col("__ids").alias("b"))
     met = pairs.select("class_a", "class_b").join(one, "class_a").join(two, "class_b")
