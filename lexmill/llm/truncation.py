@@ -257,7 +257,7 @@ def length_hazards(facts: DataFrame, rate: float = RATE, around: int = NEIGHBOUR
 def distinct_values(rows: DataFrame) -> DataFrame:
     """``field_name, value``: every value once; copies are put together before the exchange."""
     entries = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in FIELDS))
-    return rows.select(F.explode(entries).alias("e")).select("e.field_name", F.rtrim("e.value").alias("value")).where("value <> ''").distinct()
+    return rows.select(F.explode(entries).alias("e")).select("e.field_name", F.rtrim("e.value", F.lit(_BLANKS)).alias("value")).where("value <> ''").distinct()
 
 
 def _count_runs(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

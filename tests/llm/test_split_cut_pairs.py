@@ -147,6 +147,8 @@ def test_sorted_neighbours(spark):
     texts = ["风险", "风险点在于利率", "风险点在于利率未定", "利率", "利", "x" * 90, "x" * 91, "其他"]
     df = spark.createDataFrame([("response", t) for t in texts] + [("retrieved_knowledge", "风险点")], "field_name string, value string")
     found = truncation.shortened(df)
+    rows = spark.createDataFrame([("甲方\n", None), ("甲方", "　甲方 \t")], "response string, retrieved_knowledge string")
+    assert {tuple(r) for r in truncation.distinct_values(rows).collect()} == {("response", "甲方"), ("retrieved_knowledge", "　甲方")}  # blanks at the end do not go on
     expected = {truncation.xxhash.xxh3_128_digest(t.encode()) for t in texts if any(o != t and o.startswith(t) for o in texts)}
     assert {bytes(r.key) for r in found.collect()} == expected and len(expected) == 4
 
